@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import chat_formatting, license_scan, sentencepiece_codec, sharding, url_filters
 from .common import table
 
+URL_RULES = [
+    url_filters.Rule("block", "net", "/"),
+    url_filters.Rule("allow", "example.net", "/en/"),
+    url_filters.Rule("block", "example.com", "/de/"),
+    url_filters.Rule("allow", "org", "/fr/"),
+]
+SHARDS, SHARD_SLOTS = [f"shard-{i:02d}" for i in range(32)], 5003
+
 
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's file; every operator takes the path as a parameter."""
@@ -17,12 +26,37 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.preference_digest(table(spark, sf_dir, "conversations"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, F.col("doc_id"), SHARDS, SHARD_SLOTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_formatting": chat_formatting.oracle(),
+    "op8_license_scans": license_scan.oracle(),
+    "op10_sharding": sharding.oracle(SHARDS, SHARD_SLOTS, "documents", "doc_id"),
+}
