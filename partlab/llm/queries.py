@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, license_scan, sentencepiece_codec, sharding, url_filters
+from . import chat_formatting, language_id, license_scan, sentencepiece_codec, sharding, toxicity, url_filters
 from .common import table
 
 URL_RULES = [
@@ -30,6 +30,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.preference_digest(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +57,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_toxicity": op2_toxicity,
+    "op5_language_id": op5_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
