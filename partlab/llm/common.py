@@ -94,6 +94,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+_KEPT = 1 << 20
+_kept: dict[int, np.ndarray] = {}
+
+
+def _cached_powers(base: int, n: int) -> np.ndarray:
+    """As _powers; up to _KEPT of them are kept, in steps of powers of two."""
+    have = _kept.get(base)
+    if have is None or len(have) < n:
+        if n > _KEPT:
+            return _powers(base, n)
+        with np.errstate(over="ignore"):
+            have = _kept[base] = _powers(base, 1 << max(12, (n - 1).bit_length()))
+    return have[:n]
+
+
 class SegmentHash:
     """64-bit hashes of many segments of one array of symbols.
 
@@ -106,8 +121,8 @@ class SegmentHash:
         n = len(symbols)
         with np.errstate(over="ignore"):
             self.total = np.zeros(n + 1, np.uint64)
-            np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * _powers(_P, n), out=self.total[1:])
-            self.back = _powers(_PINV, n + 1)
+            np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * _cached_powers(_P, n), out=self.total[1:])
+            self.back = _cached_powers(_PINV, n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

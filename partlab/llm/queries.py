@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, language_id, license_scan, sentencepiece_codec, sharding, toxicity, url_filters
+from . import chat_formatting, language_id, license_scan, lz_fingerprint, sentencepiece_codec, sharding, toxicity, url_filters
 from .common import table
 
 URL_RULES = [
@@ -38,6 +38,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.preference_digest(table(spark, sf_dir, "conversations"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_license_scans": op8_license_scans,
     "op9_sentencepiece": op9_sentencepiece,
