@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, language_id, license_scan, lz_fingerprint, minmax_dedup, sentencepiece_codec, sharding, toxicity, url_filters
+from . import chat_formatting, decontamination, language_id, license_scan, lz_fingerprint, minmax_dedup, sentencepiece_codec, sharding, toxicity, url_filters
 from .common import table
 
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.groups(table(spark, sf_dir, "documents"), 85)
 
@@ -66,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash": op4_minhash,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
