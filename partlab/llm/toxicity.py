@@ -11,7 +11,6 @@ hasn't seen. Training and scoring are numpy; windows of many documents run in on
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -210,22 +209,28 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     windows make a document's score."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, float)
-    docs = [words_in(t) for t in texts]
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)], np.int32) for t in texts]
+    names = list(vocabulary)
     part = rng.random(len(docs)) < 0.75
     if not 0 < y[part].sum() < part.sum():
         part[:] = True
-    in_docs = Counter(w for d, p in zip(docs, part) if p for w in set(d))
-    known = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= WORD_DOCS))}
+    in_docs = np.zeros(len(names), np.int32)
+    for d, p in zip(docs, part):
+        if p:
+            in_docs[np.unique(d)] += 1
+    known = {w: i for i, w in enumerate(sorted(names[k] for k in np.flatnonzero(in_docs >= WORD_DOCS)))}
     net = new_network(known, seed)
     rate = (y.sum() + 1) / (len(y) + 2)
     net.document = np.array([0, 0, 0, np.log(rate / (1 - rate))])
     if not 0 < y.sum() < len(y):
         return net
-    vocabulary = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
-    bounds, buckets = features_of(list(vocabulary), known)
+    made = [features_of(names[i : i + 30_000], known) for i in range(0, len(names), 30_000)]
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for b, _ in made]))))
+    buckets = np.concatenate([b.astype(np.int32) for _, b in made])
     ids, label = [], []
     for k in np.flatnonzero(part):
-        own = np.array([vocabulary[w] for w in docs[k]], np.int32)
+        own = docs[k]
         starts = windows_of(len(own))
         if len(starts) > TRAIN_WINDOWS:
             starts = rng.choice(starts, TRAIN_WINDOWS, replace=False)
@@ -242,10 +247,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
         for i in range(0, len(order), BATCH):
             _learn(net, adam, ids[order[i : i + BATCH]], label[order[i : i + BATCH]], bounds, buckets)
     rest = np.flatnonzero(~part) if (~part).any() and 0 < y[~part].sum() < (~part).sum() else np.arange(len(y))
-    rest = rest[[bool(docs[k]) for k in rest]]
-    scorer = Scorer(net)
-    logits, first, _ = scorer.windows([docs[k] for k in rest])
-    net.document = _logistic(statistics(logits, first), y[rest])
+    rest = rest[[len(docs[k]) > 0 for k in rest]]
+    scorer, found = Scorer(net), [np.zeros((0, 4))]
+    for lo, hi in chunks([len(docs[k]) for k in rest], 200_000):
+        logits, first, _ = scorer.windows([[names[w] for w in docs[k]] for k in rest[lo:hi]])
+        found.append(statistics(logits, first))
+    net.document = _logistic(np.concatenate(found), y[rest])
     return net
 
 
