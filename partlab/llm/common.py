@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,20 @@ CHUNK_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes and rows of an Arrow batch at most: a batch of long texts must not fill a worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python kernels are fed with, in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -57,6 +69,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+#: Bits of an id filter at most (32 MB).
+MOST_BITS = 1 << 28
+
+
+class IdFilter:
+    """A bitmap of hashed ids, to leave out most rows whose id is not among some ids before a
+    shuffle. It has no false negatives; a join after it makes the result exact. Its size is
+    eight bits an id, MOST_BITS at most, whatever the number of ids: beyond that it lets more
+    rows through."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.bits = min(MOST_BITS, 1 << max(15, (8 * n).bit_length()))
+        at = self.place(F.col(column)) + 1
+        rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
+        table = np.zeros(self.bits // 8, np.uint8)
+        for r in rows:
+            table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    def may_hold(self, key: Column) -> Column:
+        table = self.table
+
+        @F.pandas_udf("boolean")
+        def look(at: pd.Series) -> pd.Series:
+            return pd.Series(bits_at(table.value, at.to_numpy()))
+
+        return look(self.place(key))
+
+
+def bits_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def chunks(lengths: Sequence[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths add up to at most ``most`` (or a single item)."""
     lo = total = 0

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, chunks, materialize, mix64, words_of
+from .common import CHUNK_CHARS, IdFilter, bits_at, chunks, materialize, mix64, words_of
 
 WORDS = 5
 #: Probability that a pair right at the threshold shares no bucket; values of a signature at most.
 MISS, MOST_VALUES = 5e-6, 336
 #: Members that one task compares to so many others at a time.
 BLOCK = 256
+#: Pairs of two components that are confirmed before all others.
+FIRST = 2
 
 _NO_ID = -(2**63)  # stands for a null id: it sorts first, as null does
 
@@ -142,14 +144,22 @@ def _signed(by: Banding):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0)
-        for lo, hi in chunks([len(t or "") for t in texts], CHUNK_CHARS):
-            sets = shingle_sets(texts[lo:hi])
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "s"])
+def _sets(table):
+    """Rows (id, text, place in the filter) that the filter lets through, as (id, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(bits_at(table.value, batch.column(2).to_numpy()))
+            if not len(at):
+                continue
+            batch = batch.take(pa.array(at))
+            texts, ids = batch.column(1).to_pylist(), batch.column(0)
+            for lo, hi in chunks([len(t or "") for t in texts], CHUNK_CHARS):
+                sets = shingle_sets(texts[lo:hi])
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+
+    return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,6 +195,25 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         state = now
 
 
+def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, c) after links between components: one confirmed pair joins two components, so at
+    first the FIRST pairs of each two components are confirmed, by likeness; then all pairs whose
+    components are still apart."""
+    for most in (FIRST, None):
+        of = labels.select(F.col("v").alias("id"), "c")
+        placed = pairs.join(of.withColumnsRenamed({"id": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "c": "cb"}), "b", "left")
+        placed = placed.select("a", "b", "e", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
+        if most is not None:
+            rank = F.row_number().over(W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("e"), "a", "b"))
+            placed = placed.withColumn("rank", rank).where(F.col("rank") <= most)
+        tried = materialize(placed.select("a", "b", "ca", "cb"), "tried")
+        good = confirmed(tried.select("a", "b"), sets, percent)
+        joined = components(good.join(tried, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        known = labels.unionAll(joined.join(labels.select("v"), "v", "left_anti"))
+        labels = materialize(known.join(joined.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
+    return labels.withColumnRenamed("v", "rep")
+
+
 def _across(block: int, size: int, percent: int):
     """Pairs of a bucket's members that are in different components and whose signatures allow
     the threshold; one call sees two blocks of members."""
@@ -199,15 +228,18 @@ def _across(block: int, size: int, percent: int):
         rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
         cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
         nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
-        a, b = [], []
+        a, b, e = [], [], []
         for k in range(len(rx)):
             may = (cx[k] != cy) & (rx[k] < ry if i == j else True) & (100 * np.minimum(nx[k], ny) >= percent * np.maximum(nx[k], ny))
             at = np.flatnonzero(may)
             if len(at):
-                at = at[(px[k] == py[at]).mean(axis=1) >= least]
+                like = (px[k] == py[at]).mean(axis=1)
+                at, like = at[like >= least], like[like >= least]
                 a.append(np.minimum(rx[k], ry[at]))
                 b.append(np.maximum(rx[k], ry[at]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+                e.append(like)
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pd.DataFrame({"a": joined(a, np.int64), "b": joined(b, np.int64), "e": joined(e, float)})
 
     return run
 
@@ -234,11 +266,11 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = materialize(dealt.join(buckets, "key"), "members")
     star = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
 
-    # the full sets of all that takes part, once
+    # the full sets of all that takes part, once; a filter keeps other texts out of the shuffle
     takes_part = members.select(F.col("rep").alias("id")).distinct()
-    texts = rows.join(takes_part, "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, s array<long>")
-    sets = materialize(sets, "sets")
+    some = IdFilter(takes_part, "id")
+    sets = rows.select("id", "text", some.place(F.col("id")).alias("at")).mapInArrow(_sets(some.table), "id long, s array<long>")
+    sets = materialize(sets.join(takes_part, "id", "left_semi"), "sets")
     first = components(confirmed(star, sets, percent))
 
     # buckets that the stars left in several components
@@ -250,13 +282,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_members = open_members.withColumn("chunk", F.floor(rank / BLOCK).cast("int"))
     last = F.floor((F.col("m") - 1) / BLOCK).cast("int")
     dealt_pairs = open_members.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "rep", "c", "n", "places", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    across = dealt_pairs.groupBy("key", "i", "j").applyInPandas(_across(BLOCK, 2 * by.permutations, percent), "a long, b long").distinct()
-    second = confirmed(materialize(across, "across"), sets, percent)
-    of = first.select(F.col("v").alias("id"), "c")
-    lifted = second.join(of.withColumnsRenamed({"id": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "c": "cb"}), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(lifted)
-    known = first.unionAll(joined.join(first.select(F.col("v")), "v", "left_anti"))
-    final = known.join(joined.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select(F.col("v").alias("rep"), F.coalesce("top", "c").alias("c"))
+    across = dealt_pairs.groupBy("key", "i", "j").applyInPandas(_across(BLOCK, 2 * by.permutations, percent), "a long, b long, e double").distinct()
+    final = _linked(first, materialize(across, "across"), sets, percent)
 
     labelled = classes.select("k1", "k2", "rep", "copies").join(final, "rep", "left").select("k1", "k2", "copies", F.coalesce("c", "rep").alias("c"), "rep")
     labelled = labelled.where((F.col("copies") > 1) | (F.col("c") != F.col("rep"))).select("k1", "k2", "c")
@@ -272,11 +299,15 @@ def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays, of rows that repeat an id with different texts each is judged by its own."""
     judged = materialize(groups(docs, percent), "judged")
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    # most rows are told by the filter to stay and are not shuffled
+    may = IdFilter(gone, "__gone").may_hold(F.col("doc_id").cast("long"))
+    doubtful = docs.where(may)
+    doubtful = doubtful.join(gone, doubtful["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    kept = docs.where(~may).unionByName(doubtful)
     repeated = judged.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
     if repeated.isEmpty():
         return kept
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     order = W.partitionBy("doc_id").orderBy("text")
     twice = kept.join(repeated, same, "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
     return kept.join(repeated, same, "left_anti").unionByName(twice)
