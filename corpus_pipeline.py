@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from partlab.llm import decontamination, language_id, minmax_dedup, sentencepiece_codec, toxicity
-from partlab.llm.common import materialize, table
+from partlab.llm.common import materialize, small_batches, table
 from partlab.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches 0.3."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told."""
+    small_batches(spark)
     return language_id.keep_identified(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: word shingles of five, similarity 0.8 or more."""
+    small_batches(spark)
     return minmax_dedup.keep_first(docs, 80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold passages of benchmark items."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as digests of their ids and of the text decoded from them."""
+    small_batches(spark)
     return sentencepiece_codec.digest(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
