@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step of a Python kernel takes at a time. It bounds a
 #: worker's memory; results don't depend on it. A longer single text is a step of its own.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +108,15 @@ def bits_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: after training, the driver's Python needs little."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides
+        pass
+
+
 def chunks(lengths: Sequence[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths add up to at most ``most`` (or a single item)."""
     lo = total = 0

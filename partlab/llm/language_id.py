@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, SegmentHash, chunks, held_out
+from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out
 
 #: Labelled documents that the probabilities are fitted on at most.
 SAMPLE_ROWS = 3_000
 ROUNDS, SMOOTHING = 3, 0.05
 #: The longest piece (characters) that takes part, and the words that a worker remembers.
-LONGEST, CACHE_WORDS = 12, 300_000
+LONGEST, CACHE_WORDS = 12, 250_000
 NONE = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -258,10 +258,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS) -> Model:
-    got = sample(docs, rows).toPandas()
-    order = np.lexsort((got["text"].to_numpy(object), got["lang"].to_numpy(object))) if len(got) else []
-    got = got.iloc[order] if len(got) else got
-    return fit(list(got["text"]), list(got["lang"]), vocabulary)
+    got = sorted((r["lang"], r["text"]) for r in sample(docs, rows).toLocalIterator())
+    model = fit([t for _, t in got], [lang for lang, _ in got], vocabulary)
+    del got
+    give_back()
+    return model
 
 
 def predicted(text: Column, model: Model) -> Column:
@@ -274,6 +275,8 @@ def predicted(text: Column, model: Model) -> Column:
         for s in batches:
             lang, score = scorer.score(list(s))
             yield pd.DataFrame({"lang": lang, "score": score})
+        del scorer
+        give_back()
 
     return run(text)
 

@@ -142,7 +142,8 @@ def fingerprints(text: Column) -> Column:
     return run(text)
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Ids pass Python as text, so that nulls and all 64 bits are kept.
+RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +176,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    d = pd.DataFrame(rows, columns=names)
-    d["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in d["doc_id"]], dtype="Int64")
-    return d
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
@@ -194,7 +192,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.select("doc_id").count()
     if not n:
-        return docs.sparkSession.createDataFrame([], RESULT)
+        return docs.sparkSession.createDataFrame([], RESULT.replace("doc_id string", "doc_id long"))
     blocks = min(MOST_BLOCKS, max(1, n // BLOCK_ROWS))
     cuts: list[int] = []
     if blocks > 1:
@@ -221,4 +219,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     places = F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("block"), F.lit(1).alias("copied")))).otherwise(F.array(own))
     dealt = joined.select("doc_id", "h", "text", F.explode(places).alias("p")).select("doc_id", "h", "text", "p.block", "p.copied")
     ordered = dealt.repartition("block").sortWithinPartitions("block", "copied", "doc_id", "h", "text")
-    return ordered.mapInPandas(_neighbours, RESULT)
+    out = ordered.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_neighbours, RESULT)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -27,11 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
-
 #: Parts that a worker remembers, and the longest part it remembers (characters). When the table
 #: is full it is emptied: a matter of speed only.
-CACHE_PARTS, CACHE_CHARS = 300_000, 40
+CACHE_PARTS, CACHE_CHARS = 250_000, 40
 
 MARK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
@@ -270,29 +268,28 @@ def decode(ids: Column, model_file: str) -> Column:
     return run(ids)
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
-    """Per document: the number of ids, and SHA-256 of ids and of the text decoded from them.
+    """Per document: doc_id, the number of ids, and SHA-256 of ids and of the text decoded from
+    them.
 
     One row a document, repeated rows included; null text counts as empty; other columns of
     ``docs`` are neither read nor carried. Needs no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model_file)
-        for pdf in batches:
+        for s in batches:
             n, a, b = [], [], []
-            for t in pdf["text"]:
+            for t in s:
                 raw = c.encode_bytes(t)
                 n.append(len(raw) // 4)
                 a.append(hashlib.sha256(raw).hexdigest())
                 said = c.decode(np.frombuffer(raw, "<u4").tolist())
                 b.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
@@ -302,4 +299,4 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     return ids.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-__all__ = ["Codec", "codec", "common", "decode", "digest", "encode", "encoded"]
+__all__ = ["Codec", "codec", "decode", "digest", "encode", "encoded"]

@@ -19,15 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, SegmentHash, chunks, held_out
+from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out
 
 #: Labelled documents that are learnt from at most, by label 1 and 0, and the windows of each
 #: that the network is trained on.
-SAMPLE_ROWS, TRAIN_WINDOWS = (2_000, 3_500), 16
+SAMPLE_ROWS, TRAIN_WINDOWS = (1_500, 2_500), 16
 WINDOW, STRIDE = 32, 16
 WIDTH, HIDDEN, BUCKETS = 12, 8, 1 << 14
 NGRAMS = (3, 4, 5)
-EPOCHS, BATCH, RATE, WORD_DOCS = 4, 128, 0.01, 5
+EPOCHS, LEAST_STEPS, BATCH, RATE, WORD_DOCS = 4, 400, 128, 0.01, 5
 #: Words that a worker remembers the inputs of.
 CACHE_WORDS = 150_000
 THRESHOLD = 0.3
@@ -212,6 +212,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)], np.int32) for t in texts]
     names = list(vocabulary)
+    del vocabulary
     part = rng.random(len(docs)) < 0.75
     if not 0 < y[part].sum() < part.sum():
         part[:] = True
@@ -221,13 +222,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
             in_docs[np.unique(d)] += 1
     known = {w: i for i, w in enumerate(sorted(names[k] for k in np.flatnonzero(in_docs >= WORD_DOCS)))}
     net = new_network(known, seed)
-    rate = (y.sum() + 1) / (len(y) + 2)
+    rate = (y.sum() + 0.1) / (len(y) + 1)
     net.document = np.array([0, 0, 0, np.log(rate / (1 - rate))])
     if not 0 < y.sum() < len(y):
         return net
-    made = [features_of(names[i : i + 30_000], known) for i in range(0, len(names), 30_000)]
+    made = [(b, k.astype(np.int32)) for b, k in (features_of(names[i : i + 30_000], known) for i in range(0, len(names), 30_000))]
     bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for b, _ in made]))))
-    buckets = np.concatenate([b.astype(np.int32) for _, b in made])
+    buckets = np.concatenate([b for _, b in made])
+    del made
     ids, label = [], []
     for k in np.flatnonzero(part):
         own = docs[k]
@@ -242,6 +244,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
             label.append(y[k])
     ids, label = np.array(ids), np.array(label, np.float32)
     adam = _Adam(net.params(), RATE)
+    epochs = max(epochs, min(40, -(-LEAST_STEPS * BATCH // len(ids))))  # small samples are gone through more often
     for _ in range(epochs):
         order = rng.permutation(len(ids))
         for i in range(0, len(order), BATCH):
@@ -363,9 +366,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_RO
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Network:
-    got = sample(docs, labels).toPandas()
-    got = got.sort_values(["toxic", "text"], kind="stable") if len(got) else got
-    return train(list(got["text"]), [int(x) for x in got["toxic"]])
+    rows = sorted((int(r["toxic"]), r["text"]) for r in sample(docs, labels).toLocalIterator())
+    net = train([t for _, t in rows], [y for y, _ in rows])
+    del rows
+    give_back()
+    return net
 
 
 def toxic_score(text: Column, net: Network) -> Column:
@@ -379,6 +384,8 @@ def toxic_score(text: Column, net: Network) -> Column:
         scorer = Scorer(shared.value)
         for s in batches:
             yield pd.Series(scorer.score(list(s)))
+        del scorer
+        give_back()
 
     return score(text)
 
@@ -387,7 +394,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """Per document: doc_id, held_out, score, predicted (1 from ``threshold`` on).
 
     Null and empty texts have the score of a text without words. Without labels every score is
-    one half; with one label only, the smoothed share of label 1. Repeated rows give repeated
+    0.1; with one label only, the smoothed share of label 1. Repeated rows give repeated
     results; labels only teach, and no column but the text enters a score.
     """
     net = net or train_on(docs, labels)
