@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import curves, geometry, numeric
 from ..model import Problem
 from ..operators import geometric, graph, grid, kmeans, mesh, metrics, numbers, weights
-from . import experiments, inputs, registry
+from . import experiments, inputs, registry, report
 from .inputs import CELLS, EDGES, GRID, MESH, PARTS, PTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -599,3 +599,35 @@ def chain_hilbert_fm(spark, d):
 def num_part_experiment(spark, d):
     r = experiments.run(spark, "exp,0.5", 200, 20, numbers.karmarkar_karp(2), 2, seed=5)
     return r.select("iteration", ((F.col("imbalance") >= -1e-9) & (F.col("imbalance") < 0.01)).alias("ok"))
+
+
+# --- reports
+
+
+@query(f"""WITH {PTS}, l AS (SELECT id % 8 AS part, sum(w)::BIGINT AS load FROM pts GROUP BY 1)
+    SELECT 8 AS parts, 0::BIGINT AS empty_parts, sum(load)::BIGINT AS total, min(load) AS lightest, max(load) AS heaviest FROM l""")
+def part_info(spark, d):
+    p, w = inputs.partitioned(spark, d, 8)
+    return report.part_info(p, w, None, 8).select("parts", "empty_parts", "total", "lightest", "heaviest")
+
+
+@query(f"""WITH {EDGES}, {PARTS}, l AS (SELECT id % 4 AS part, sum(w)::BIGINT AS load FROM p GROUP BY 1), n AS (SELECT src, count(DISTINCT q) - 1 AS extra FROM (SELECT src, dst % 4 AS q FROM e UNION ALL SELECT id, id % 4 FROM p) GROUP BY src)
+    SELECT 4 AS parts, (SELECT max(load) FROM l) AS heaviest, (SELECT count(*) FROM e WHERE dst < src AND src % 4 <> dst % 4) AS edge_cut, (SELECT sum(extra * w)::DOUBLE FROM n JOIN p ON src = id) AS lambda_cut""")
+def part_info_graph(spark, d):
+    i = report.part_info(_by_id(spark, d), inputs.part_items(spark, d), inputs.bought_together(spark, d), 4)
+    return i.select("parts", "heaviest", "edge_cut", "lambda_cut")
+
+
+@query("SELECT chain, weights, true AS balanced FROM (SELECT unnest(['rcb,1', 'hilbert,2', 'zcurve,2']) AS chain), (SELECT unnest(['constant,1', 'linear,x,1,100']) AS weights)")
+def quality_matrix(spark, d):
+    cells = grid.cells(spark, [12, 10])
+    points = cells.select("id", F.array(F.col("x0").cast("double"), F.col("x1").cast("double")).alias("coords"))
+    q = report.quality(points, grid.edges(spark, [12, 10]), [["rcb,1"], ["hilbert,2"], ["zcurve,2"]], ["constant,1", "linear,x,1,100"])
+    return q.select("chain", "weights", ((F.col("imbalance") < 0.9) & (F.col("edge_cut") > 0)).alias("balanced"))
+
+
+@query("SELECT count(*) AS items, true AS all_inside FROM orders")
+def oriented_box(spark, d):
+    o = inputs.orders(spark, d)
+    w = report.within(o, geometry.OrientedBox.of(o, 2))
+    return w.agg(F.count(F.lit(1)).alias("items"), F.bool_and("inside").alias("all_inside"))
