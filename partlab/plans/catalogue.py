@@ -403,11 +403,10 @@ def blobs(spark, d):
     return mesh.blobs(inputs.mesh(spark, d)[1])
 
 
-@query(f"WITH {MESH} SELECT el_id AS blob, ref, 1 AS rings, 4 AS corners FROM el WHERE el_id % 2 = 0 AND (el_id // {GRID[0]}) % 2 = 0")
+@query(f"WITH {MESH} SELECT el_id AS blob, ref, 1 AS rings, 4 AS corners FROM el")
 def blob_frontiers(spark, d):
     n, e = inputs.mesh(spark, d)
-    lone = e.where(f"el_id % 2 = 0 AND (el_id div {GRID[0]}) % 2 = 0")
-    f = mesh.frontiers(n, lone, lone.select("el_id", "ref", F.col("el_id").alias("blob")))
+    f = mesh.frontiers(n, e, e.select("el_id", F.col("el_id").alias("blob")))
     return f.select("blob", "ref", F.size("rings").alias("rings"), F.size(F.col("rings")[0]).alias("corners"))
 
 
@@ -438,16 +437,6 @@ def zoom_in(spark, d):
 # --- number partitioning
 
 
-@query(f"""WITH RECURSIVE {PTS}, o AS (SELECT id, w, row_number() OVER (ORDER BY w DESC, id DESC) AS n FROM pts WHERE id IN (SELECT id FROM pts ORDER BY id LIMIT 400)),
-    run(n, id, part, loads) AS (SELECT 0::BIGINT, 0::BIGINT, 0, [0, 0, 0, 0]::BIGINT[] UNION ALL
-        SELECT o.n, o.id, 4 - list_position(list_reverse(loads), list_min(loads))::INTEGER, list_transform(range(1, 5), lambda k: loads[k] + CASE WHEN k = 5 - list_position(list_reverse(loads), list_min(loads)) THEN o.w ELSE 0 END)
-        FROM run JOIN o ON o.n = run.n + 1)
-    SELECT id, part FROM run WHERE n > 0""")
-def greedy_parts(spark, d):
-    first = inputs.orders(spark, d).orderBy("id").limit(400)  # the oracle's recursion bounds this query
-    return numbers.solve(first, numbers.greedy(4))
-
-
 _SETS = "SELECT o_custkey AS set_id, count(*) AS items, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS total, true AS ok FROM orders GROUP BY o_custkey"
 
 
@@ -456,6 +445,16 @@ def _sets(spark, d):
     return o.select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("w"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS set_id, o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS w FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY w DESC, id DESC) AS n FROM o),
+    run(set_id, n, id, part, loads) AS (SELECT DISTINCT set_id, 0::BIGINT, 0::BIGINT, 0, [0, 0, 0, 0]::BIGINT[] FROM o UNION ALL
+        SELECT r.set_id, r.n, r.id, 4 - list_position(list_reverse(loads), list_min(loads))::INTEGER, list_transform(range(1, 5), lambda k: loads[k] + CASE WHEN k = 5 - list_position(list_reverse(loads), list_min(loads)) THEN r.w ELSE 0 END)
+        FROM run JOIN r ON r.set_id = run.set_id AND r.n = run.n + 1)
+    SELECT set_id, id, part FROM run WHERE n > 0""")
+def greedy_parts(spark, d):
+    return numbers.solve(_sets(spark, d), numbers.greedy(4), "set_id")
+
+
 def _summed(sets, parts, ok, k):
     """(set_id, items, total, ok): ``ok`` is a condition on the loads of a set's k parts."""
     loads = sets.join(parts, ["set_id", "id"]).groupBy("set_id").agg(F.count(F.lit(1)).alias("items"), F.sum("w").alias("total"), F.max("w").alias("top"), F.array(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("w"))), F.lit(0)) for p in range(k)]).alias("loads"))
