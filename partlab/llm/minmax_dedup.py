@@ -195,30 +195,29 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         state = now
 
 
-def _linked(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, c) after links between components: one confirmed pair joins two components, so at
-    first the FIRST pairs of each two components are confirmed, by likeness; then all pairs whose
-    components are still apart."""
-    for most in (FIRST, None):
-        of = labels.select(F.col("v").alias("id"), "c")
-        placed = pairs.join(of.withColumnsRenamed({"id": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "c": "cb"}), "b", "left")
-        placed = placed.select("a", "b", "e", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
-        if most is not None:
-            rank = F.row_number().over(W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("e"), "a", "b"))
-            placed = placed.withColumn("rank", rank).where(F.col("rank") <= most)
-        tried = materialize(placed.select("a", "b", "ca", "cb"), "tried")
-        good = confirmed(tried.select("a", "b"), sets, percent)
-        joined = components(good.join(tried, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        known = labels.unionAll(joined.join(labels.select("v"), "v", "left_anti"))
-        labels = materialize(known.join(joined.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
-    return labels.withColumnRenamed("v", "rep")
+def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, by: Banding, percent: int, most: int | None) -> DataFrame:
+    """(a, b, ca, cb): candidate pairs of different components ca and cb within a bucket; with
+    ``most`` only so many of each two components in a block, the likeliest.
+
+    Buckets with the same members are looked at once. A bucket's members are compared block by
+    block, so a task holds two blocks, whatever the bucket's size.
+    """
+    placed = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("m"))
+    split = split.where("c0 != c1").groupBy("who", "m").agg(F.min("key").alias("key")).select("key", "m")
+    open_members = placed.join(split, "key").join(classes.select("rep", "n", "places"), "rep")
+    rank = F.row_number().over(W.partitionBy("key").orderBy("c", "rep")) - 1
+    open_members = open_members.withColumn("chunk", F.floor(rank / BLOCK).cast("int"))
+    last = F.floor((F.col("m") - 1) / BLOCK).cast("int")
+    dealt = open_members.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "rep", "c", "n", "places", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return dealt.groupBy("key", "i", "j").applyInPandas(_across(2 * by.permutations, percent, most), "a long, b long, ca long, cb long").distinct()
 
 
-def _across(block: int, size: int, percent: int):
+def _across(values: int, percent: int, most: int | None):
     """Pairs of a bucket's members that are in different components and whose signatures allow
     the threshold; one call sees two blocks of members."""
     t = percent / 100
-    least = t - 5 * math.sqrt(t * (1 - t) / size)
+    least = t - 5 * math.sqrt(t * (1 - t) / values)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -228,18 +227,19 @@ def _across(block: int, size: int, percent: int):
         rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
         cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
         nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
-        a, b, e = [], [], []
+        rows = []
         for k in range(len(rx)):
             may = (cx[k] != cy) & (rx[k] < ry if i == j else True) & (100 * np.minimum(nx[k], ny) >= percent * np.maximum(nx[k], ny))
             at = np.flatnonzero(may)
             if len(at):
                 like = (px[k] == py[at]).mean(axis=1)
                 at, like = at[like >= least], like[like >= least]
-                a.append(np.minimum(rx[k], ry[at]))
-                b.append(np.maximum(rx[k], ry[at]))
-                e.append(like)
-        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pd.DataFrame({"a": joined(a, np.int64), "b": joined(b, np.int64), "e": joined(e, float)})
+                first = rx[k] < ry[at]
+                rows.append(np.stack([np.where(first, rx[k], ry[at]), np.where(first, ry[at], rx[k]), np.where(first, cx[k], cy[at]), np.where(first, cy[at], cx[k]), -(like * 1e6).astype(np.int64)], axis=1))
+        found = pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 5), np.int64), columns=["a", "b", "ca", "cb", "e"])
+        if most is not None:
+            found = found.assign(lo=found[["ca", "cb"]].min(axis=1), hi=found[["ca", "cb"]].max(axis=1)).sort_values(["e", "a", "b"]).groupby(["lo", "hi"]).head(most)
+        return found[["a", "b", "ca", "cb"]]
 
     return run
 
@@ -271,19 +271,20 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     some = IdFilter(takes_part, "id")
     sets = rows.select("id", "text", some.place(F.col("id")).alias("at")).mapInArrow(_sets(some.table), "id long, s array<long>")
     sets = materialize(sets.join(takes_part, "id", "left_semi"), "sets")
-    first = components(confirmed(star, sets, percent))
+    labels = components(confirmed(star, sets, percent))
 
-    # buckets that the stars left in several components
-    placed = members.join(first.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("m"))
-    split = split.where("c0 != c1").groupBy("who", "m").agg(F.min("key").alias("key")).select("key", "m")
-    open_members = placed.join(split, "key").join(classes.select("rep", "n", "places"), "rep")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("c", "rep")) - 1
-    open_members = open_members.withColumn("chunk", F.floor(rank / BLOCK).cast("int"))
-    last = F.floor((F.col("m") - 1) / BLOCK).cast("int")
-    dealt_pairs = open_members.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "rep", "c", "n", "places", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    across = dealt_pairs.groupBy("key", "i", "j").applyInPandas(_across(BLOCK, 2 * by.permutations, percent), "a long, b long, e double").distinct()
-    final = _linked(first, materialize(across, "across"), sets, percent)
+    # one confirmed pair joins two components: first the likeliest pairs of each two, then all
+    # pairs of those that are still apart
+    for most in (FIRST, None):
+        pairs = materialize(_apart(members, classes, labels, by, percent, most), "apart")
+        if pairs.isEmpty():
+            break
+        good = confirmed(pairs.select("a", "b"), sets, percent)
+        joined = components(good.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        known = labels.unionAll(joined.join(labels.select("v"), "v", "left_anti"))
+        top = joined.select(F.col("v").alias("c"), F.col("c").alias("top"))
+        labels = materialize(known.join(top, "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
+    final = labels.withColumnRenamed("v", "rep")
 
     labelled = classes.select("k1", "k2", "rep", "copies").join(final, "rep", "left").select("k1", "k2", "copies", F.coalesce("c", "rep").alias("c"), "rep")
     labelled = labelled.where((F.col("copies") > 1) | (F.col("c") != F.col("rep"))).select("k1", "k2", "c")
