@@ -21,22 +21,67 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 
 #: Public licence notices: a key and one notice or paragraph each.
-TEMPLATES: list[tuple[str, str]] = [
+TEMPLATES: list[tuple[str, str]] = [(key, " ".join(lines)) for key, *lines in [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("apache-2.0",
+     'Licensed under the Apache License, Version 2.0 (the "License");',
+     "you may not use this file except in compliance",
+     "with the License. You may obtain a copy of",
+     "the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0",
+     "Unless required by applicable law or agreed to in",
+     "writing, software distributed under the License is distributed on",
+     'an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF',
+     "ANY KIND, either express or implied. See the License",
+     "for the specific language governing permissions and limitations under",
+     "the License."),
     ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("mit",
+     "Permission is hereby granted, free of charge, to any",
+     "person obtaining a copy of this software and associated",
+     "documentation files, to deal in the Software without restriction,",
+     "including without limitation the rights to use, copy, modify,",
+     "merge, publish, distribute, sublicense, and/or sell copies of the",
+     "Software, and to permit persons to whom the Software",
+     "is furnished to do so, subject to the following",
+     "conditions:"),
+    ("gpl-3.0",
+     "This work is licensed under the GNU General Public",
+     "License, version 3."),
+    ("gpl-3.0",
+     "This program is free software: you can redistribute it",
+     "and/or modify it under the terms of the GNU",
+     "General Public License as published by the Free Software",
+     "Foundation, either version 3 of the License, or (at",
+     "your option) any later version."),
+    ("gpl-2.0",
+     "This program is free software; you can redistribute it",
+     "and/or modify it under the terms of the GNU",
+     "General Public License as published by the Free Software",
+     "Foundation; either version 2 of the License, or (at",
+     "your option) any later version."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-]
+    ("cc-by-4.0",
+     "This work is licensed under a Creative Commons Attribution",
+     "4.0 International License."),
+    ("cc-by-sa-4.0",
+     "This work is licensed under a Creative Commons Attribution-ShareAlike",
+     "4.0 International License."),
+    ("bsd",
+     "Redistribution and use in source and binary forms, with",
+     "or without modification, are permitted provided that the following",
+     "conditions are met:"),
+    ("isc",
+     "Permission to use, copy, modify, and/or distribute this software",
+     "for any purpose with or without fee is hereby",
+     "granted, provided that the above copyright notice and this",
+     "permission notice appear in all copies."),
+    ("mpl-2.0",
+     "This Source Code Form is subject to the terms",
+     "of the Mozilla Public License, v. 2.0. If a",
+     "copy of the MPL was not distributed with this",
+     "file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+]]
 
 
 def normalise(text: str) -> list[str]:
