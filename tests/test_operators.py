@@ -221,3 +221,14 @@ def test_stream_assignment(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert parts(spark.table("assigned")) == parts(geometric.rcb(p, ones(spark, 36), 2))
+
+
+def test_sql_function(spark):
+    from partlab.plans import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(s, i, w) for s in (1, 2) for i, w in enumerate([3, 5, 3, 9])], "set_id bigint, id bigint, w bigint").createOrReplaceTempView("sets")
+    rows = spark.sql("SELECT * FROM partition_numbers(TABLE(SELECT * FROM sets) PARTITION BY (set_id), 'kk,2')").collect()
+    assert len(rows) == 8 and {r["part"] for r in rows} == {0, 1}
+    one = spark.sql("SELECT part, count(*) AS n FROM partition_numbers(TABLE(SELECT * FROM sets) WITH SINGLE PARTITION, 'greedy,4') GROUP BY part").collect()
+    assert sum(r["n"] for r in one) == 8 and len(one) == 4
