@@ -1,7 +1,7 @@
 """Number partitioning: kernels for one set of weights, and their use on many sets at once.
 
 Each heuristic is sequential by nature, so one set is one task (about a million items a set
-is the ceiling); many sets run side by side with applyInPandas. Kernels take (ids, weights,
+is the ceiling); many sets run side by side. Kernels take (ids, weights,
 parts so far) and give the new parts and a metadata dictionary.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -242,14 +242,38 @@ def solve(sets: DataFrame, kernel: Kernel, by: str | None = None, skip_failures:
         data = data.withColumn("part", F.lit(0))
     kind = data.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame | None:
         try:
             parts, _ = kernel(pdf["id"].to_numpy(), pdf["w"].to_numpy(), pdf["part"].to_numpy(np.int64))
         except NotFound:
             if not skip_failures:
                 raise
-            return pd.DataFrame({key: pdf[key][:0], "id": pdf["id"][:0], "part": pd.Series([], dtype="int32")})
-        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "part": np.asarray(parts, "int32")})
-
-    out = data.select(key, "id", "w", F.col("part").cast("int").alias("part")).groupBy(key).applyInPandas(run, f"`{key}` {kind}, id bigint, part int")
+            return None
+        return pd.DataFrame({key: pdf[key].to_numpy(), "id": pdf["id"].to_numpy(), "part": np.asarray(parts, "int32")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted by set; a set may reach into the next batch, so the last one waits
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[key]
+            new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()
+            new[0] = bool(held) and not (held[-1][key].iloc[-1] == k.iloc[0] or (pd.isna(held[-1][key].iloc[-1]) and pd.isna(k.iloc[0])))
+            at = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+            done = []
+            for lo, hi in zip(at, at[1:]):
+                if lo < len(pdf) and new[lo] and held:
+                    done.append(one(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                if hi > lo:
+                    held.append(pdf.iloc[lo:hi])
+            done = [d for d in done if d is not None]
+            if done:
+                yield pd.concat(done)
+        if held and (last := one(pd.concat(held))) is not None:
+            yield last
+
+    ready = data.select(key, "id", "w", F.col("part").cast("int").alias("part")).repartition(key).sortWithinPartitions(key, "id")
+    out = ready.mapInPandas(run, f"`{key}` {kind}, id bigint, part int")
     return out if by else out.drop(key)
