@@ -114,6 +114,13 @@ def band_keys(signatures: np.ndarray, by: Banding) -> np.ndarray:
     return key
 
 
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers; (0, 0) for the empty one."""
+    with np.errstate(over="ignore"):
+        k = np.array([mix64(shingles).sum(dtype=np.uint64), mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)])
+    return tuple(k.view(np.int64).tolist())
+
+
 def _signed(by: Banding):
     """Rows (id, text) to (id, n, k1, k2, bands, places)."""
     a, b = _permutations(by.permutations)
@@ -126,18 +133,16 @@ def _signed(by: Banding):
                 sets = shingle_sets(texts[lo:hi], words)
                 n = np.array([len(s) for s in sets], np.int64)
                 sig = np.zeros((len(sets), 2 * len(a)), np.uint32)
-                k1, k2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                with np.errstate(over="ignore"):
-                    for i, s in enumerate(sets):
-                        if len(s):
-                            sig[i] = signature(s, a, b)
-                            k1[i], k2[i] = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+                k1, k2 = np.array([set_key(s) for s in sets], np.int64).T
+                for i, s in enumerate(sets):
+                    if len(s):
+                        sig[i] = signature(s, a, b)
                 keys = band_keys(sig, by)
                 keys = keys[n > 0]
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, by.bands, 0)))).astype(np.int32)
                 places = (sig & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))), pa.array([p.tobytes() for p in places], pa.binary())],
+                    [ids.slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))), pa.array([p.tobytes() for p in places], pa.binary())],
                     names=["id", "n", "k1", "k2", "bands", "places"],
                 )
 
@@ -145,7 +150,7 @@ def _signed(by: Banding):
 
 
 def _sets(table):
-    """Rows (id, text, place in the filter) that the filter lets through, as (id, set)."""
+    """Rows (id, text, place in the filter) that the filter lets through, as (id, k1, k2, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +162,8 @@ def _sets(table):
             for lo, hi in chunks([len(t or "") for t in texts], CHUNK_CHARS):
                 sets = shingle_sets(texts[lo:hi])
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+                k1, k2 = np.array([set_key(s) for s in sets], np.int64).T
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "k1", "k2", "s"])
 
     return run
 
@@ -244,21 +250,24 @@ def _across(values: int, percent: int, most: int | None):
     return run
 
 
-def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """The classes with ``rep``, a number of each class alone, and whether that is ``own``, its
+    smallest id. Where classes share one (a null or repeated id with different texts), all have
+    a hash, another one until no two are equal."""
+    rep, salt = F.col("own"), 0
+    while not classes.groupBy(rep.alias("rep")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
+        rep, salt = F.xxhash64("own", "k1", "k2", F.lit(salt)), salt + 1
+    return classes.withColumn("rep", rep), not salt
 
-    ``component_id`` is the smallest doc_id reachable over links with 100 * intersection >=
-    percent * union; ``kept`` says whether it is the row's own. Null and empty texts, and texts
-    of white space, have no shingle, no link and are kept. Of rows with equal ids and sets all
-    are in one group and all have the same ``kept``. A null id counts as smaller than any other.
-    Nothing is gathered by copy group: equal sets are pre-aggregated, and the last join meets
-    only sets that have copies or links.
-    """
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of (doc_id, text): id (of a null one _NO_ID), n, k1 and k2 of its set, c (the
+    smallest id of its group) and kept."""
     by = banding(percent / 100)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
     signed = materialize(rows.mapInArrow(_signed(by), "id long, n long, k1 long, k2 long, bands array<long>, places binary"), "signatures")
-    found = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
-    classes = materialize(found, "classes")
+    found = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    classes, by_id = _numbered(materialize(found, "classes"))
 
     # buckets with two classes at least, and their members
     dealt = classes.select("rep", F.explode("bands").alias("key"))
@@ -267,10 +276,11 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
 
     # the full sets of all that takes part, once; a filter keeps other texts out of the shuffle
-    takes_part = members.select(F.col("rep").alias("id")).distinct()
+    takes_part = classes.select("rep", F.col("own").alias("id"), "k1", "k2").join(members.select("rep").distinct(), "rep", "left_semi")
+    takes_part = materialize(takes_part, "taking-part")
     some = IdFilter(takes_part, "id")
-    sets = rows.select("id", "text", some.place(F.col("id")).alias("at")).mapInArrow(_sets(some.table), "id long, s array<long>")
-    sets = materialize(sets.join(takes_part, "id", "left_semi"), "sets")
+    sets = rows.select("id", "text", some.place(F.col("id")).alias("at")).mapInArrow(_sets(some.table), "id long, k1 long, k2 long, s array<long>")
+    sets = materialize(sets.join(takes_part, ["id", "k1", "k2"]).select(F.col("rep").alias("id"), "s"), "sets")
     labels = components(confirmed(star, sets, percent))
 
     # one confirmed pair joins two components: first the likeliest pairs of each two, then all
@@ -286,32 +296,66 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         labels = materialize(known.join(top, "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
     final = labels.withColumnRenamed("v", "rep")
 
-    labelled = classes.select("k1", "k2", "rep", "copies").join(final, "rep", "left").select("k1", "k2", "copies", F.coalesce("c", "rep").alias("c"), "rep")
-    labelled = labelled.where((F.col("copies") > 1) | (F.col("c") != F.col("rep"))).select("k1", "k2", "c")
+    labelled = classes.select("k1", "k2", "rep", "own", "copies").join(final, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    if not by_id:  # the class of the smallest id stands for a group; of several the one of the smallest key
+        first = labelled.groupBy("c").agg(F.min(F.struct("own", "k1", "k2", "rep")).alias("first"))
+        labelled = labelled.join(first, "c").select("k1", "k2", "rep", "copies", F.col("first.own").alias("c"), F.col("first.rep").alias("lead"))
+    else:
+        labelled = labelled.select("k1", "k2", "rep", "copies", "c", F.col("c").alias("lead"))
+    labelled = labelled.where((F.col("copies") > 1) | (F.col("lead") != F.col("rep"))).select("k1", "k2", "c", (F.col("lead") == F.col("rep")).alias("leads"))
     out = signed.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left")
     c = F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))
-    real = lambda x: F.when(x != _NO_ID, x)
-    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(c).alias("component_id"), (c == F.col("id")).alias("kept"))
+    leads = F.coalesce("leads", F.lit(True)) | (F.col("n") == 0)
+    return out.select("id", "n", "k1", "k2", c.alias("c"), (leads & (c == F.col("id"))).alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest doc_id reachable over links with 100 * intersection >=
+    percent * union; ``kept`` says whether it is the row's own, and of sets of one group under
+    that id holds for one only. Null and empty texts, and texts of white space, have no shingle,
+    no link and are kept. Of rows with equal ids and sets all are in one group and all have the
+    same ``kept``; rows of one id, or of null ids, with different sets are judged each by its
+    own. A null id counts as smaller than any other.
+    Nothing is gathered by copy group: equal sets are pre-aggregated, and the last join meets
+    only sets that have copies or links.
+    """
+    real = lambda x: F.when(F.col(x) != _NO_ID, F.col(x))
+    return _judged(docs, percent).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), "kept")
+
+
+def _key(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Number of shingles and key of each text's set."""
+    for batch in texts:
+        t, rows = batch.to_list(), []
+        for lo, hi in chunks([len(x or "") for x in t], CHUNK_CHARS):
+            rows += [(len(s), *set_key(s)) for s in shingle_sets(t[lo:hi])]
+        yield pd.DataFrame(rows, columns=["n", "k1", "k2"], dtype=np.int64)
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one row of each near-duplicate group: that of the smallest
-    doc_id. Rows without shingles all stay; of rows that repeat an id with equal text the first
-    stays, of rows that repeat an id with different texts each is judged by its own."""
-    judged = materialize(groups(docs, percent), "judged")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    """``docs``, all columns, with one row of each near-duplicate group: one of the smallest
+    doc_id (null first), of several with equal sets that of the first text. Rows without
+    shingles all stay; rows that repeat an id, or have none, with different sets are judged each
+    by its own."""
+    judged = materialize(_judged(docs, percent), "judged")
+    by_id = judged.where(F.col("id") != _NO_ID).groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("kept")).alias("gone"), F.count_if(F.col("kept") & (F.col("n") > 0)).alias("first"))
+    # ids all of whose rows go, and ids whose rows are judged one by one
+    marked = materialize(by_id.where("gone > 0 OR first > 1").select(F.col("id").alias("__id"), (F.col("gone") < F.col("m")).alias("__each")), "marked")
+    own = F.col("doc_id").cast("long")
     # most rows are told by the filter to stay and are not shuffled
-    may = IdFilter(gone, "__gone").may_hold(F.col("doc_id").cast("long"))
-    doubtful = docs.where(may)
-    doubtful = doubtful.join(gone, doubtful["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    kept = docs.where(~may).unionByName(doubtful)
-    repeated = judged.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
-    if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    order = W.partitionBy("doc_id").orderBy("text")
-    twice = kept.join(repeated, same, "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
-    return kept.join(repeated, same, "left_anti").unionByName(twice)
+    may = IdFilter(marked, "__id").may_hold(own)
+    doubtful = docs.where(own.isNotNull() & may).join(marked, own == F.col("__id"), "left")
+    kept = docs.where(own.isNotNull() & ~may).unionByName(doubtful.where("__id IS NULL").select(*docs.columns))
+    unnamed = judged.where((F.col("id") == _NO_ID) & (F.col("n") > 0)).isEmpty()
+    if unnamed and marked.where("__each").isEmpty():
+        return kept.unionByName(docs.where(own.isNull()))
+    each = doubtful.where("__each").select(*docs.columns).unionByName(docs.where(own.isNull()))
+    each = each.select(F.struct(*docs.columns).alias("row"), F.coalesce(own, F.lit(_NO_ID)).alias("id"), F.pandas_udf(_key, "n long, k1 long, k2 long")("text").alias("set"))
+    one = each.where("set.n > 0").groupBy("id", "set.k1", "set.k2").agg(F.min_by("row", "row.text").alias("row"))
+    one = one.join(judged.where("kept AND n > 0").select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi")
+    return kept.unionByName(each.where("set.n = 0").select("row.*")).unionByName(one.select("row.*"))
 
 
 __all__ = ["banding", "components", "confirmed", "groups", "keep_first", "shingle_sets"]

@@ -101,6 +101,22 @@ def test_near_duplicates_near_the_threshold(spark):
     assert got == _brute_groups(rows, 85)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (5, c), (5, d), (2, near(c)), (7, e), (7, near(e)), (8, near(b)), (None, ""), (None, None)]
+    x, y, z = [text() for _ in range(4)], text(), text()
+    rows += [(None, t) for t in x] + [(None, x[0]), (9, near(x[1])), (3, "X " + x[2]), (3, x[3].upper())]
+    rows += [(20, z), (20, y), (10, y)]
+    want = [(1, a), (1, b), (5, d), (2, near(c)), (10, y), (20, z), (None, ""), (None, None)] + [(None, t) for t in x]
+    got = [tuple(r) for r in minmax_dedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), 80).collect()]
+    sevens = [r for r in got if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1] in (e, near(e))
+    assert sorted(map(repr, (r for r in got if r[0] != 7))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)]
