@@ -3,8 +3,9 @@
 Fixed masks pick token positions of a short span and ignore the others, so a span still hashes
 alike after a substitution at an ignored place. Every mask is applied at every position of test
 items and documents; equal hashes are hits. A hit fixes how item and document are aligned; the
-tokens along that alignment are then compared, and the best run that tolerates substitutions
-(a match counts 1, a mismatch -3: it stays over 75 % equal) decides.
+tokens along that alignment are then compared. A match counts 1 and a mismatch -3, so what has a
+sum above 0 is over 75 % equal. An overlap is each best run of enough tokens, and each item that
+has such a sum as a whole: near an end, a run loses all beyond a substitution.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_CHARS, chunks, materialize, mix64, words_of
 
-#: Positions that count, by mask. All have eight places and weight six.
-MASKS = ("11011011", "11101101", "10110111", "11110011", "11001111")
+#: Positions that count, by mask. All have eight places and weight six; each place is ignored by
+#: one at least, so that one substitution hides no item of eight tokens or more.
+MASKS = ("11011011", "11101101", "10110111", "11110011", "11001111", "01111110")
 SPAN = 8
-#: Tokens of a verified overlap at least (a shorter item: all its tokens), and of an item that is
-#: looked for at all: below a mask's span nothing tells an item from chance.
+#: Tokens of a run at least (a shorter item: all its tokens), and what a mismatch counts. Items
+#: below a mask's span aren't looked for: nothing tells them from chance.
 LEAST_TOKENS, MISMATCH = 13, 3
 #: Bytes of test text that one block, which is broadcast, may hold. A larger benchmark is
 #: searched block after block, each against all documents.
@@ -107,8 +109,11 @@ class Searcher:
                 d0, d1 = bounds[doc], bounds[doc + 1]
                 first, end = max(0, -shift), min(i1 - i0, d1 - d0 - shift)
                 same = self.index.tokens[i0 + first : i0 + end] == words[d0 + shift + first : d0 + shift + end]
-                a, b = _best_run(same)
-                if b - a >= min(LEAST_TOKENS, i1 - i0):
+                runs = _runs(same, min(LEAST_TOKENS, i1 - i0))
+                at = np.flatnonzero(same)
+                if len(at) > MISMATCH * (i1 - i0 - len(at)):
+                    runs.append((int(at[0]), int(at[-1]) + 1))
+                for a, b in runs:
                     got = (int(same[a:b].sum()), int(shift + first + a), int(shift + first + b))
                     key = (int(doc), int(item))
                     if key not in best or got[0] > best[key][0]:
@@ -118,14 +123,32 @@ class Searcher:
         return out
 
 
+def _runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The best run, and those to the left and right of it likewise, that have ``least`` tokens."""
+    out, parts = [], [(0, len(same))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < least:
+            continue
+        a, b = _best_run(same[lo:hi])
+        if b - a >= least:
+            out.append((lo + a, lo + b))
+        if b > a:
+            parts += [(lo + b, hi), (lo, lo + a)]
+    return out
+
+
 def _best_run(same: np.ndarray) -> tuple[int, int]:
-    """[start, end) of the run with the largest sum, a match 1 and a mismatch -MISMATCH; the
-    first of equals."""
+    """[start, end) of the run with the largest sum, a match 1 and a mismatch -MISMATCH; of
+    equals the first, as long as it can be."""
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
     low = np.minimum.accumulate(total)
     gain = total - low
+    if not gain.max():
+        return 0, 0
     b = int(gain.argmax())
-    a = int(np.flatnonzero(total[: b + 1] == low[b])[-1])
+    a = int((total == low[b]).argmax())
+    b = int(np.flatnonzero((gain == gain[b]) & (low == low[b]))[-1])
     return a, b
 
 

@@ -238,6 +238,30 @@ def test_spaced_seeds_tolerate_substitutions(sf_dir):
     assert rnd
 
 
+def test_substitutions_in_items_of_all_lengths():
+    """Of each length, every copy with one substitution is found, and all that a seed hits of
+    those with more; an item counts from over 75 % of its tokens, a run from 13 tokens."""
+    for n in range(8, 31):
+        item = [f"t{n}x{k}" for k in range(n)]
+        s = decontamination.Searcher(decontamination.build([n], [" ".join(item)]))
+        most = (n - 1) // 4
+        for k in range(n):
+            one = ["other" if i == k else x for i, x in enumerate(item)]
+            assert [o[0] for o in s.overlaps(["before " + " ".join(one) + " after"])[0]] == [n], (n, k)
+        rnd = random.Random(n)
+        for _ in range(60):
+            at = set(rnd.sample(range(n), rnd.randint(1, most)))
+            got = " ".join("other" if i in at else x for i, x in enumerate(item))
+            hit = len(s.alignments(*words_of([got], punctuation=True)))
+            assert bool(s.overlaps([got])[0]) == bool(hit), (n, at)
+        assert not s.overlaps([" ".join(item[: min(12, n * 3 // 4)])])[0]
+    item = [f"u{k}" for k in range(60)]
+    s = decontamination.Searcher(decontamination.build([1], [" ".join(item)]))
+    # the largest run has 12 tokens, a smaller one 14; and two of equal sums, of which one is long enough
+    assert s.overlaps([" ".join(item[:12] + ["o"] * 6 + item[18:25] + ["o"] + item[26:32])])[0] == [(1, 18, 32, 13)]
+    assert s.overlaps([" ".join(item[:12] + ["o"] + item[13:16] + ["o"] * 9)])[0] == [(1, 0, 16, 15)]
+
+
 def test_decontamination_against_search(spark, sf_dir, texts):
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
