@@ -3,13 +3,19 @@
 A document's set holds its distinct word shingles. Each of a number of permutations is
 evaluated once for a shingle and gives two values of the signature, the set's minimum and its
 maximum. Bands of the signature deal the distinct sets into buckets; who shares a bucket is a
-candidate, and every link is confirmed on the full sets.
+candidate, and every link is decided on the full sets.
 
 * Equal sets are one class from the start, so copies cost one row each.
-* Links inside a bucket are first confirmed against the bucket's smallest member only, a number
-  of pairs in proportion to the members. Only where that leaves a bucket in several components
-  are members of different components compared among themselves, in blocks of bounded size and
-  by their signatures, before sets are fetched.
+* Each bucket has a lead, the member with the most neighbours. A bucket's other members are
+  compared with it only: pairs in proportion to the members. What a comparison leaves is the
+  pair's difference, the shingles that one of the two sets has and the other has not.
+* Members of one lead that are still in different components are found by these differences,
+  without loss. Two sets' distance is the size of their differences' difference, so two that
+  are linked, but in different components, share shingles of their differences, and more the
+  larger these are. Shingles that no other difference holds can't be shared. The rarest of the
+  rest index the members; who can't reach the number that is needed with anyone of another
+  component leaves its place in the index. What stays is compared in rounds, a bounded number
+  of members with all others a round.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -31,10 +37,8 @@ from .common import CHUNK_CHARS, IdFilter, bits_at, chunks, materialize, mix64,
 WORDS = 5
 #: Probability that a pair right at the threshold shares no bucket; values of a signature at most.
 MISS, MOST_VALUES = 5e-6, 336
-#: Members that one task compares to so many others at a time.
-BLOCK = 256
-#: Pairs of two components that are confirmed before all others.
-FIRST = 2
+#: Members of an index place that are compared with all others of it in one round.
+LEADS = 32
 
 _NO_ID = -(2**63)  # stands for a null id: it sorts first, as null does
 
@@ -122,7 +126,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(by: Banding):
-    """Rows (id, text) to (id, n, k1, k2, bands, places)."""
+    """Rows (id, text) to (id, n, k1, k2, bands)."""
     a, b = _permutations(by.permutations)
     words = WORDS
 
@@ -140,10 +144,9 @@ def _signed(by: Banding):
                 keys = band_keys(sig, by)
                 keys = keys[n > 0]
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, by.bands, 0)))).astype(np.int32)
-                places = (sig & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))), pa.array([p.tobytes() for p in places], pa.binary())],
-                    names=["id", "n", "k1", "k2", "bands", "places"],
+                    [ids.slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
+                    names=["id", "n", "k1", "k2", "bands"],
                 )
 
     return run
@@ -168,14 +171,20 @@ def _sets(table):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on the full sets."""
+def linked(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m that differ in ``apart`` shingles have 100 * intersection >=
+    percent * union."""
+    return (100 + percent) * apart.cast("long") <= (100 - percent) * (n + m)
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sizes n and m and ``d``, the shingles that only one of them
+    has. A set goes to its pairs as b first: a lead's set is read, not sent, for each of its
+    members."""
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    n, m = F.size("x"), F.size("y")
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least(n, m) >= percent * F.greatest(n, m))
-    i = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * i >= percent * (n + m - i)).select("a", "b").distinct()
+    both = pairs.join(right, "b").join(left, "a")
+    return both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
 
 
 def components(edges: DataFrame, what: str = "links") -> DataFrame:
@@ -201,53 +210,89 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         state = now
 
 
-def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, by: Banding, percent: int, most: int | None) -> DataFrame:
-    """(a, b, ca, cb): candidate pairs of different components ca and cb within a bucket; with
-    ``most`` only so many of each two components in a block, the likeliest.
+def _star(classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each bucket's lead a with the bucket's other members b."""
+    dealt = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialize(dealt.join(buckets, "key"), "members")
+    near = members.groupBy("rep").agg(F.sum("m").alias("w"))
+    ranked = members.select("key", "rep").join(near, "rep").select("key", "rep", F.struct("w", (-F.col("rep")).alias("r")).alias("o"))
+    leads = ranked.groupBy("key").agg(F.max("o").alias("o")).select("key", (-F.col("o.r")).alias("lead"))
+    pairs = members.join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    return materialize(pairs.distinct(), "star")
 
-    Buckets with the same members are looked at once. A bucket's members are compared block by
-    block, so a task holds two blocks, whatever the bucket's size.
-    """
-    placed = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("m"))
-    split = split.where("c0 != c1").groupBy("who", "m").agg(F.min("key").alias("key")).select("key", "m")
-    open_members = placed.join(split, "key").join(classes.select("rep", "n", "places"), "rep")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("c", "rep")) - 1
-    open_members = open_members.withColumn("chunk", F.floor(rank / BLOCK).cast("int"))
-    last = F.floor((F.col("m") - 1) / BLOCK).cast("int")
-    dealt = open_members.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "rep", "c", "n", "places", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return dealt.groupBy("key", "i", "j").applyInPandas(_across(2 * by.permutations, percent, most), "a long, b long, ca long, cb long").distinct()
-
-
-def _across(values: int, percent: int, most: int | None):
-    """Pairs of a bucket's members that are in different components and whose signatures allow
-    the threshold; one call sees two blocks of members."""
-    t = percent / 100
-    least = t - 5 * math.sqrt(t * (1 - t) / values)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, y = (pdf[pdf["chunk"] == k] for k in (i, j))
-        px, py = (np.frombuffer(b"".join(z["places"]), np.uint8).reshape(len(z), -1) for z in (x, y))
-        rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
-        cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
-        nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
-        rows = []
-        for k in range(len(rx)):
-            may = (cx[k] != cy) & (rx[k] < ry if i == j else True) & (100 * np.minimum(nx[k], ny) >= percent * np.maximum(nx[k], ny))
-            at = np.flatnonzero(may)
-            if len(at):
-                like = (px[k] == py[at]).mean(axis=1)
-                at, like = at[like >= least], like[like >= least]
-                first = rx[k] < ry[at]
-                rows.append(np.stack([np.where(first, rx[k], ry[at]), np.where(first, ry[at], rx[k]), np.where(first, cx[k], cy[at]), np.where(first, cy[at], cx[k]), -(like * 1e6).astype(np.int64)], axis=1))
-        found = pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 5), np.int64), columns=["a", "b", "ca", "cb", "e"])
-        if most is not None:
-            found = found.assign(lo=found[["ca", "cb"]].min(axis=1), hi=found[["ca", "cb"]].max(axis=1)).sort_values(["e", "a", "b"]).groupby(["lo", "hi"]).head(most)
-        return found[["a", "b", "ca", "cb"]]
 
-    return run
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (v, c) after links (a, b) between components."""
+    joined = components(links)
+    known = labels.unionAll(joined.join(labels.select("v"), "v", "left_anti"))
+    top = joined.select(F.col("v").alias("c"), F.col("c").alias("top"))
+    return materialize(known.join(top, "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with ``c``, the component of their ``b``."""
+    return rows.join(labels.select(F.col("v").alias("b"), "c"), "b", "left").withColumn("c", F.coalesce("c", "b"))
+
+
+def _least_of_others(rows: DataFrame, *place: str) -> DataFrame:
+    """Rows (place, c, e) of places with several components, with ``other``: the least e among
+    the rows of their place in other components."""
+    least = rows.groupBy(*place, "c").agg(F.min("e").alias("e"))
+    rank = F.row_number().over(W.partitionBy(*place).orderBy("e", "c"))
+    two = least.withColumn("r", rank).where("r <= 2").groupBy(*place).agg(F.max(F.when(F.col("r") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("r") == 1, F.col("e"))).alias("e1"), F.max(F.when(F.col("r") == 2, F.col("e"))).alias("e2"))
+    rows = rows.join(two.where("e2 IS NOT NULL"), list(place))
+    return rows.withColumn("other", F.when(F.col("c") == F.col("c1"), F.col("e2")).otherwise(F.col("e1"))).drop("c1", "e1", "e2")
+
+
+def _index(cells: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members, places) of the leads whose members are in several components.
+
+    With e = (100 + percent) * size of the difference - (100 - percent) * size of the set, two
+    members are linked if and only if their differences share (e + e') / (2 * (100 + percent))
+    shingles or more; if that is 0 or less, both are linked with the lead itself. So a member
+    needs a least number of shared shingles, given the least e' of other components. It takes
+    places (a, t) for its rarest shared shingles t, as many as leave fewer than it needs; ``cap``
+    is the largest e' of a member that it can be linked with, with t as its first shared one.
+    """
+    up, down = 100 + percent, 100 - percent
+    rows = _labelled(cells, labels).withColumn("size", F.size("d").cast("long")).withColumn("e", up * F.col("size") - down * F.col("m"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("other")) / (2 * up)))
+    members = _least_of_others(rows, "a").withColumn("take", F.col("size") - need + 1).where("take > 0")
+    members = materialize(members.select("a", "b", "c", "m", "d", "size", "e", "take"), "members-apart")
+    tokens = members.select("a", "b", F.explode("d").alias("t"))
+    often = tokens.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(often, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+    rows = members.drop("d").join(shared, ["a", "b"])
+    take = F.col("take") - (F.col("size") - F.size("s"))
+    rows = rows.withColumn("k", F.size("s")).withColumn("s", F.slice("s", F.lit(1), F.greatest(F.lit(0), take).cast("int")))
+    rows = rows.select("a", "b", "c", "e", "k", F.posexplode("s").alias("i", "s"))
+    places = rows.select("a", F.col("s.t").alias("t"), "b", "c", "e", (2 * up * (F.col("k") - F.col("i")) - F.col("e")).alias("cap"))
+    return members, materialize(places, "places")
+
+
+def _joined_apart(cells: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The labels after all links between members of one lead that its own links leave apart."""
+    members, places = _index(cells, labels, percent)
+    differs = members.select("a", "b", "m", "d")
+    while True:
+        alive = materialize(_least_of_others(places, "a", "t").where("cap >= other").drop("other"), "places")
+        if alive.isEmpty():
+            return labels
+        # a round: LEADS members of a place, one for each value of a hash, with all others of it
+        leads = alive.groupBy("a", "t", F.pmod(F.xxhash64("b"), F.lit(LEADS)).alias("h")).agg(F.min(F.struct("e", "b", "c", "cap")).alias("l"))
+        leads = materialize(leads.select("a", "t", "l"), "leads")
+        met = alive.join(leads, ["a", "t"]).where("c != l.c AND e <= l.cap AND l.e <= cap")
+        first = F.col("b") < F.col("l.b")
+        pairs = met.select("a", F.when(first, F.col("b")).otherwise(F.col("l.b")).alias("b"), F.when(first, F.col("l.b")).otherwise(F.col("b")).alias("b2"), F.when(first, F.col("c")).otherwise(F.col("l.c")).alias("c"), F.when(first, F.col("l.c")).otherwise(F.col("c")).alias("c2"))
+        right = differs.select("a", F.col("b").alias("b2"), F.col("m").alias("m2"), F.col("d").alias("d2"))
+        both = pairs.distinct().join(differs, ["a", "b"]).join(right, ["a", "b2"])
+        apart = F.size("d") + F.size("d2") - 2 * F.size(F.array_intersect("d", "d2"))
+        links = materialize(both.where(linked(F.col("m"), F.col("m2"), apart, percent)).select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), "links")
+        places = alive.join(leads.select("a", "t", F.col("l.b").alias("b")), ["a", "t", "b"], "left_anti")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+            places = _labelled(places.drop("c"), labels).select(*alive.columns)
 
 
 def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
@@ -265,35 +310,23 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     smallest id of its group) and kept."""
     by = banding(percent / 100)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
-    signed = materialize(rows.mapInArrow(_signed(by), "id long, n long, k1 long, k2 long, bands array<long>, places binary"), "signatures")
-    found = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    signed = materialize(rows.mapInArrow(_signed(by), "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+    found = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes, by_id = _numbered(materialize(found, "classes"))
 
-    # buckets with two classes at least, and their members
-    dealt = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = dealt.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
-    members = materialize(dealt.join(buckets, "key"), "members")
-    star = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    star = _star(classes)
 
     # the full sets of all that takes part, once; a filter keeps other texts out of the shuffle
-    takes_part = classes.select("rep", F.col("own").alias("id"), "k1", "k2").join(members.select("rep").distinct(), "rep", "left_semi")
-    takes_part = materialize(takes_part, "taking-part")
-    some = IdFilter(takes_part, "id")
-    sets = rows.select("id", "text", some.place(F.col("id")).alias("at")).mapInArrow(_sets(some.table), "id long, k1 long, k2 long, s array<long>")
+    some = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    takes_part = materialize(classes.select("rep", F.col("own").alias("id"), "k1", "k2").join(some, "rep", "left_semi"), "taking-part")
+    ids = IdFilter(takes_part, "id")
+    sets = rows.select("id", "text", ids.place(F.col("id")).alias("at")).mapInArrow(_sets(ids.table), "id long, k1 long, k2 long, s array<long>")
+    sets = sets.dropDuplicates(["id", "k1", "k2"])  # of repeated rows
     sets = materialize(sets.join(takes_part, ["id", "k1", "k2"]).select(F.col("rep").alias("id"), "s"), "sets")
-    labels = components(confirmed(star, sets, percent))
-
-    # one confirmed pair joins two components: first the likeliest pairs of each two, then all
-    # pairs of those that are still apart
-    for most in (FIRST, None):
-        pairs = materialize(_apart(members, classes, labels, by, percent, most), "apart")
-        if pairs.isEmpty():
-            break
-        good = confirmed(pairs.select("a", "b"), sets, percent)
-        joined = components(good.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        known = labels.unionAll(joined.join(labels.select("v"), "v", "left_anti"))
-        top = joined.select(F.col("v").alias("c"), F.col("c").alias("top"))
-        labels = materialize(known.join(top, "c", "left").select("v", F.coalesce("top", "c").alias("c")), "labels")
+
+    cells = materialize(differences(star, sets), "cells")
+    labels = components(cells.where(linked(F.col("n"), F.col("m"), F.size("d"), percent)).select("a", "b"))
+    labels = _joined_apart(cells, labels, percent)
     final = labels.withColumnRenamed("v", "rep")
 
     labelled = classes.select("k1", "k2", "rep", "own", "copies").join(final, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
@@ -358,4 +391,4 @@ def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
     return kept.unionByName(each.where("set.n = 0").select("row.*")).unionByName(one.select("row.*"))
 
 
-__all__ = ["banding", "components", "confirmed", "groups", "keep_first", "shingle_sets"]
+__all__ = ["banding", "components", "differences", "groups", "keep_first", "shingle_sets"]

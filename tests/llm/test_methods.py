@@ -101,6 +101,44 @@ def test_near_duplicates_near_the_threshold(spark):
     assert got == _brute_groups(rows, 85)
 
 
+def _edited(rnd, size, rows, edits, first_id=0):
+    """Copies of one text with a number of substituted words each, some substitutions shared."""
+    base = [f"w{rnd.random()}" for _ in range(size)]
+    out = []
+    for i in range(rows):
+        w = list(base)
+        for _ in range(rnd.choice(edits)):
+            w[rnd.randrange(size)] = rnd.choice((f"e{rnd.random()}", f"f{rnd.randrange(3)}"))
+        out.append((first_id + i, " ".join(w), None))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_in_many_components(spark, percent):
+    """Crowds that share buckets and stay in many components: links between members of one lead
+    are found by their differences from it, in several rounds."""
+    rnd = random.Random(percent)
+    rows = _edited(rnd, 60, 250, [0, 1, 2, 2, 3, 3, 4]) + _edited(rnd, 90, 250, [4, 5, 6], 1000) + _edited(rnd, 30, 60, [1, 2], 2000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    want = _brute_groups(rows, percent)
+    assert len({c for _, c in want.values()}) > 100
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minmax_dedup.groups(docs, percent).collect()}
+    assert got == want
+
+
+def test_near_duplicates_among_members_of_one_lead(spark, monkeypatch):
+    """Every text shares one bucket with all others: no link is left to banding."""
+    rnd = random.Random(3)
+    rows = _edited(rnd, 40, 160, [1, 2, 3, 4])
+    sets = minmax_dedup.shingle_sets([t for _, t, _ in rows])
+    table = spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)]) for (i, *_), s in zip(rows, sets)], "id bigint, s array<bigint>")
+    monkeypatch.setattr(minmax_dedup, "LEADS", 2)
+    cells = minmax_dedup.differences(spark.createDataFrame([(0, i) for i, *_ in rows if i], "a bigint, b bigint"), table).persist()
+    labels = minmax_dedup.components(cells.where(minmax_dedup.linked(F.col("n"), F.col("m"), F.size("d"), 85)).select("a", "b"))
+    got = {r["v"]: r["c"] for r in minmax_dedup._joined_apart(cells, labels, 85).collect()}
+    assert {i: got.get(i, i) for i, *_ in rows} == {i: c for i, (_, c) in _brute_groups(rows, 85).items()}
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rnd = random.Random(8)
     text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
