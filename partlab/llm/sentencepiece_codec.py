@@ -19,6 +19,7 @@ import heapq
 import re
 import threading
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,14 +28,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 #: Parts that a worker remembers, and the longest part it remembers (characters). When the table
 #: is full it is emptied: a matter of speed only.
-CACHE_PARTS, CACHE_CHARS = 250_000, 40
+CACHE_PARTS, CACHE_CHARS = 100_000, 40
+#: Pairs of pieces whose check is remembered.
+CACHE_PAIRS = 200_000
 
 MARK = "▁"
+LETTER = r"[^\W\d_]"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised protocol message."""
+    i = 0
+
+    def number() -> int:
+        nonlocal i
+        x = shift = 0
+        while True:
+            b = data[i]
+            i += 1
+            x |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return x
+
+    while i < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        n = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield key >> 3, data[i : i + n]
+        i += n
+
+
+@dataclass(frozen=True)
+class Normaliser:
+    """What a model does to a text before it is cut into pieces."""
+
+    mark_first: bool
+
+    @classmethod
+    def of(cls, model: bytes) -> Normaliser:
+        """Read from a serialised model. Models that aren't of the merge type, or that change
+        a text by more than the mark for blanks, are refused: they would be encoded wrongly."""
+        trainer = dict(_fields(b"".join(v for k, v in _fields(model) if k == 2)))
+        rules = dict(_fields(b"".join(v for k, v in _fields(model) if k == 3)))
+        if trainer.get(3, 1) != 2:
+            raise ValueError("not a merge-type (BPE) model")
+        if rules.get(2) or rules.get(6) or rules.get(4, 1) or not rules.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("the model's normaliser changes texts: only the mark for blanks is supported")
+        return cls(bool(rules.get(3, 1)))
+
+    def marked(self, text: str) -> str:
+        return (MARK if self.mark_first else "") + text.replace(" ", MARK)
+
+
 class Codec:
     """Encoder and decoder for one model file."""
 
@@ -57,22 +111,35 @@ class Codec:
         self.automaton.make_automaton()
         self.pair: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.normaliser = Normaliser.of(sp.serialized_model_proto())
         self.parts = self._parts()
+        cut = [p for p in self.ids if self.parts.findall(p) != [p]]
+        if cut:
+            raise ValueError(f"pieces that the cutting pattern splits: {cut[:5]}")
         self.texts = ["" if sp.is_control(i) else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         self.texts[self.unk] = " ⁇ "
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.has_bytes else {}
 
+    def forget(self) -> None:
+        """Drops what was remembered: a worker outlives its task."""
+        self.pair.clear()
+        self.cache.clear()
+        give_back()
+
     def _parts(self) -> re.Pattern:
         """What no piece reaches across, found from the vocabulary itself."""
         inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(x[0] != MARK and x[1] == MARK for x in inside):
             return re.compile(r"(?s).+")
         known = {c for p in self.ids for c in p}
-        never = [c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(x[1] == c and x[0].isalpha() for x in inside)]
+        # one class of letters, for what the vocabulary holds and for the pattern: it has signs
+        # such as ², which are no letters to str.isalpha
+        letter = re.compile(LETTER).match
+        never = [c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(x[1] == c and letter(x[0]) for x in inside)]
         lone = [c for c in map(chr, [*range(1, 32)]) if c not in known]
         stop, one = re.escape("".join(never)), re.escape("".join(lone))
         # a lone sign; marks and then either letters (up to a sign that never follows one) or what comes before the next mark
-        letters = rf"[^\W\d_]+(?=[{stop}{one}{MARK}]|\Z)" if never or one else r"(?!)"
+        letters = rf"{LETTER}+(?=[{stop}{one}{MARK}]|\Z)" if never or one else r"(?!)"
         return re.compile(rf"[{one}]|{MARK}*{letters}|{MARK}*[^{MARK}{one}]+|{MARK}+" if one else rf"{MARK}*{letters}|{MARK}*[^{MARK}]+|{MARK}+")
 
     def merged(self, text: str) -> list[str]:
@@ -106,7 +173,7 @@ class Codec:
     def fits(self, left: str, right: str) -> bool:
         found = self.pair.get((left, right))
         if found is None:
-            if len(self.pair) > 500_000:
+            if len(self.pair) >= CACHE_PAIRS:
                 self.pair.clear()
             found = self.pair[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -169,7 +236,7 @@ class Codec:
         ends = np.array([self.bos, self.eos], "<u4").tobytes()
         if not text:
             return ends
-        found = self.parts.findall(MARK + text.replace(" ", MARK))
+        found = self.parts.findall(self.normaliser.marked(text))
         cache = self.cache
         out = list(map(cache.get, found))
         if None in out:
@@ -209,6 +276,8 @@ class Codec:
             if run:
                 parts.append(_utf8(run))
             said = "".join(parts)
+        if not self.normaliser.mark_first:
+            return said
         first = next((i for i in ids if table[i] or i in byte_of), None)
         return said[1:] if first is not None and first not in byte_of and table[first].startswith(" ") and first != self.unk else said
 
@@ -252,6 +321,7 @@ def encode(text: Column, model_file: str) -> Column:
         c = codec(model_file)
         for s in batches:
             yield pd.Series([np.frombuffer(c.encode_bytes(t), "<i4") for t in s], dtype=object)
+        c.forget()
 
     return run(text)
 
@@ -288,6 +358,7 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
                 said = c.decode(np.frombuffer(raw, "<u4").tolist())
                 b.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest())
             yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+        c.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
