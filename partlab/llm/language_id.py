@@ -11,7 +11,8 @@ All words of a batch go through the lattice together: position by position in nu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,18 +26,27 @@ from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out
 #: Labelled documents that the probabilities are fitted on at most.
 SAMPLE_ROWS = 3_000
 ROUNDS, SMOOTHING = 3, 0.05
-#: The longest piece (characters) that takes part, and the words that a worker remembers.
-LONGEST, CACHE_WORDS = 12, 250_000
+#: Tokens between white space that a worker remembers.
+CACHE_WORDS = 100_000
 NONE = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _FILTER_BITS = 20
 
 
+@lru_cache(maxsize=1)
+def _letters() -> re.Pattern:
+    """Runs of letters as str.isalpha has them. What re calls a word character, but no digit,
+    also holds signs such as ½ and ②."""
+    others = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isdecimal() and not chr(c).isalpha()]
+    starts = [c for i, c in enumerate(others) if not i or others[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(others) if i + 1 == len(others) or others[i + 1] != c + 1]
+    return re.compile("[^\\W\\d_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]+")
+
+
 def words_in(text: str | None) -> list[str]:
     """Runs of letters of the lower-cased text."""
-    return _WORD.findall(text.lower()) if text else []
+    return _letters().findall(text.lower()) if text else []
 
 
 class Lattice:
@@ -44,7 +54,8 @@ class Lattice:
     row of a probability table is for "no piece" and holds zeros."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in pieces if 0 < len(p) <= LONGEST]
+        self.pieces = [p for p in pieces if p]
+        self.longest = max(map(len, self.pieces), default=1)
         code = np.frombuffer("".join(self.pieces).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(p) for p in self.pieces])
         h = SegmentHash(code)(np.concatenate(([0], ends[:-1])), ends)
@@ -61,9 +72,9 @@ class Lattice:
         code = np.frombuffer("".join(_MARK + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
         n = len(code)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # characters to the word's end
-        h, out = SegmentHash(code), np.full((LONGEST, n), self.none, np.int32)
+        h, out = SegmentHash(code), np.full((self.longest, n), self.none, np.int32)
         at = np.arange(n)
-        for k in range(1, LONGEST + 1):
+        for k in range(1, self.longest + 1):
             at = at[left[at] >= k]
             if not len(at):
                 break
@@ -79,10 +90,14 @@ class Lattice:
         return lengths, out
 
 
-def _blocks(lengths: np.ndarray, most: int = 4096) -> Iterator[np.ndarray]:
+def _blocks(lengths: np.ndarray, cells: int = 1 << 17) -> Iterator[np.ndarray]:
+    """Words by falling length, in blocks of so many table cells at most (or a single word)."""
     order = np.argsort(-lengths, kind="stable")
-    for i in range(0, len(order), most):
-        yield order[i : i + most]
+    i = 0
+    while i < len(order):
+        n = max(1, cells // (int(lengths[order[i]]) + 1))
+        yield order[i : i + n]
+        i += n
 
 
 def log_likelihood(lattice: Lattice, table: np.ndarray, words: list[str]) -> np.ndarray:
@@ -92,6 +107,7 @@ def log_likelihood(lattice: Lattice, table: np.ndarray, words: list[str]) -> np.
         return out
     lengths, ids = lattice.ids(words)
     starts = np.cumsum(lengths) - lengths
+    longest = lattice.longest
     for block in _blocks(lengths):
         n, at = lengths[block], starts[block]
         alpha: list[np.ndarray] = [np.ones((len(block), table.shape[1]))]
@@ -99,27 +115,33 @@ def log_likelihood(lattice: Lattice, table: np.ndarray, words: list[str]) -> np.
         for j in range(1, n[0] + 1):
             live = int(np.searchsorted(-n, -j, side="right"))  # words of j characters at least
             a = np.zeros((live, table.shape[1]))
-            for k in range(1, min(LONGEST, j) + 1):
-                a += alpha[-k][:live] * table[ids[k - 1, at[:live] + (j - k)]]
+            for k in range(1, min(longest, j) + 1):
+                i = ids[k - 1, at[:live] + (j - k)]
+                has = np.flatnonzero(i != lattice.none)
+                if len(has):
+                    a[has] += alpha[-k][has] * table[i[has]]
             alpha.append(a)
             done = int(np.searchsorted(-n, -j - 1, side="right"))
             if done < live:
                 out[block[done:live]] = np.log(a[done:] + 1e-300) + scale[done:live, None]
             if j % 8 == 0 and done:
-                recent = alpha[-LONGEST:]
+                recent = alpha[-longest:]
                 top = np.maximum(np.max([x[:done].max(axis=1) for x in recent], axis=0), 1e-300)
                 alpha = [x[:done] / top[:, None] for x in recent]
                 scale = scale[:done] + np.log(top)
             else:
-                alpha = alpha[-LONGEST:]
+                alpha = alpha[-longest:]
     return out
 
 
+#: Positions after which the forward and backward sums of a word are scaled anew.
+_SCALED = 24
+
+
 def expected_counts(lattice: Lattice, p: np.ndarray, words: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language: forward and backward sums over all segmentations
-    of words up to 40 characters (longer ones say little about a language)."""
-    short = [i for i, w in enumerate(words) if len(w) < 40]
-    words, weight = [words[i] for i in short], weight[short]
+    of words of any length. Position by position a sum is a number and the logarithm of its
+    scale, so that no sum of a long word is lost."""
     out = np.zeros(len(p))
     if not words:
         return out
@@ -127,24 +149,42 @@ def expected_counts(lattice: Lattice, p: np.ndarray, words: list[str], weight: n
     starts = np.cumsum(lengths) - lengths
     for block in _blocks(lengths):
         n, at = lengths[block], starts[block]
-        m = n[0]
+        m, every = int(n[0]), np.arange(len(block))
         f, b = np.zeros((m + 1, len(block))), np.zeros((m + 1, len(block)))
+        fs, bs = np.zeros((m + 1, len(block))), np.zeros((m + 1, len(block)))
         f[0] = 1
+        b[n, every] = 1
         live = [int(np.searchsorted(-n, -j, side="right")) for j in range(m + 1)]
+
+        def pieces(j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Which words have a piece of k characters at position j, and which."""
+            i = ids[k - 1, at[: live[j + k]] + j]
+            has = np.flatnonzero(i != lattice.none)
+            return has, i[has]
+
         for j in range(1, m + 1):
-            for k in range(1, min(LONGEST, j) + 1):
-                f[j, : live[j]] += f[j - k, : live[j]] * p[ids[k - 1, at[: live[j]] + (j - k)]]
-        b[n, np.arange(len(block))] = 1
+            fs[j] = fs[j - 1]
+            for k in range(1, min(lattice.longest, j) + 1):
+                w, i = pieces(j - k, k)
+                f[j, w] += f[j - k, w] * p[i] * (1 if m <= _SCALED else np.exp(fs[j - k, w] - fs[j, w]))
+            if j % _SCALED == 0:
+                fs[j, : live[j]] += np.log(f[j, : live[j]])
+                f[j, : live[j]] = 1
         for j in range(m - 1, -1, -1):
-            for k in range(1, min(LONGEST, m - j) + 1):
-                c = live[j + k]
-                b[j, :c] += b[j + k, :c] * p[ids[k - 1, at[:c] + j]]
-        total = np.maximum(f[n, np.arange(len(block))], 1e-300)
+            c = live[j + 1]
+            bs[j, :c] = bs[j + 1, :c]
+            for k in range(1, min(lattice.longest, m - j) + 1):
+                w, i = pieces(j, k)
+                b[j, w] += b[j + k, w] * p[i] * (1 if m <= _SCALED else np.exp(bs[j + k, w] - bs[j, w]))
+            if j and j % _SCALED == 0:
+                bs[j, :c] += np.log(b[j, :c])
+                b[j, :c] = 1
+        all_f, all_fs = f[n, every], fs[n, every]
         for j in range(m):
-            for k in range(1, min(LONGEST, m - j) + 1):
-                c = live[j + k]
-                i = ids[k - 1, at[:c] + j]
-                out += np.bincount(i, f[j, :c] * p[i] * b[j + k, :c] / total[:c] * weight[block[:c]], len(out))
+            for k in range(1, min(lattice.longest, m - j) + 1):
+                w, i = pieces(j, k)
+                share = f[j, w] * p[i] * b[j + k, w] / all_f[w] * np.exp(fs[j, w] + bs[j + k, w] - all_fs[w])
+                out += np.bincount(i, share * weight[block[w]], len(out))
     return out
 
 
@@ -166,22 +206,33 @@ def _lattice(vocabulary: str) -> Lattice:
     return Lattice(sorted({p for p in pieces if p == p.lower() and (p.strip(_MARK).isalpha() or p == _MARK)}))
 
 
+def counted(texts: Iterable[str]) -> dict[str, int]:
+    """How often each word is in the texts."""
+    count: dict[str, int] = {}
+    for t in texts:
+        for w in words_in(t):
+            count[w] = count.get(w, 0) + 1
+    return count
+
+
 def fit(texts: list[str], languages: list[str], vocabulary: str, rounds: int = ROUNDS) -> Model:
     """Piece probabilities per language from labelled texts."""
+    names = sorted(set(languages))
+    words = {lang: counted(t for t, own in zip(texts, languages) if own == lang) for lang in names}
+    return fit_counts(words, {lang: languages.count(lang) for lang in names}, vocabulary, rounds)
+
+
+def fit_counts(count: dict[str, dict[str, int]], docs: dict[str, int], vocabulary: str, rounds: int = ROUNDS) -> Model:
+    """Piece probabilities per language from how often each word occurs in its documents, and
+    the number of these."""
     lattice = _lattice(vocabulary)
-    count: dict[str, dict[str, int]] = {}
-    docs: dict[str, int] = {}
-    for t, lang in zip(texts, languages):
-        docs[lang] = docs.get(lang, 0) + 1
-        c = count.setdefault(lang, {})
-        for w in words_in(t):
-            c[w] = c.get(w, 0) + 1
-    names = sorted(count)
+    names = sorted(docs)
     size = lattice.none + 1
     table = np.zeros((size, len(names)))
     for j, lang in enumerate(names):
-        words = sorted(count[lang])
-        weight = np.array([count[lang][w] for w in words], float)
+        own = count.get(lang, {})
+        words = sorted(own)
+        weight = np.array([own[w] for w in words], float)
         p = np.zeros(size)
         p[: lattice.none] = 1 / lattice.none
         for _ in range(rounds):
@@ -206,7 +257,7 @@ class Scorer:
             self.row, self.said = {}, self.said[:0]
         new = sorted(w for w in tokens if w not in self.row)
         if new:
-            split = [_WORD.findall(t) for t in new]
+            split = [_letters().findall(t) for t in new]
             n = np.array([len(x) for x in split])
             add = np.zeros((len(new), self.said.shape[1]))
             if n.any():
@@ -248,19 +299,44 @@ class Scorer:
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, lang) of ``rows`` documents at most that may be learnt from: those with the
-    smallest hashes of their ids. Held-out rows, null texts and null languages take no part."""
-    may = ~held_out() & F.col("lang").isNotNull()
-    rank = F.xxhash64(F.col("doc_id").cast("string"))
-    last = docs.where(may).select(rank.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
+    smallest hashes of id, text and language; rows equal in these three count once. Held-out
+    rows, null texts and null languages take no part."""
+    may = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    by_id, by_text = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text", "lang")
+    may = may.select(by_id.alias("h"), by_text.alias("k"), "text", "lang")
+    # among all ids with small hashes: as many as it takes for enough rows that differ
+    n = may.count()
+    share = 4 * rows / n if n else 1.0
+    while share < 1 and may.where(F.col("h") < int(-(2**63) + share * 2**64)).select("h", "k").distinct().count() < rows:
+        share *= 4
+    among = may.where(F.col("h") < int(-(2**63) + share * 2**64)) if share < 1 else may
+    cut = among.select("h", "k").distinct().orderBy("h", "k").limit(rows).agg(F.max(F.struct("h", "k")).alias("cut")).first()[0]
+    if cut is None:
         return docs.select("text", "lang").limit(0)
-    return docs.where(may & F.col("text").isNotNull() & (rank <= last)).select("text", "lang").limit(rows)
+    chosen = may.where(F.struct("h", "k") <= F.struct(F.lit(cut["h"]).alias("h"), F.lit(cut["k"]).alias("k")))
+    return chosen.dropDuplicates(["h", "k"]).select("text", "lang")
 
 
 def train(docs: DataFrame, vocabulary: str, rows: int = SAMPLE_ROWS) -> Model:
-    got = sorted((r["lang"], r["text"]) for r in sample(docs, rows).toLocalIterator())
-    model = fit([t for _, t in got], [lang for lang, _ in got], vocabulary)
-    del got
+    """Fits on a sample, whose words are counted where its texts are: the driver gets each word
+    of a language once."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, texts in pdf.groupby("lang")["text"]:
+                n = counted(texts)
+                # a row without a word stands for the documents
+                yield pd.DataFrame({"lang": lang, "word": [None, *n], "n": [len(texts), *n.values()]})
+
+    count: dict[str, dict[str, int]] = {}
+    docs_of: dict[str, int] = {}
+    for lang, word, n in sample(docs, rows).mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
+        if word is None:
+            docs_of[lang] = n
+        else:
+            count.setdefault(lang, {})[word] = n
+    model = fit_counts(count, docs_of, vocabulary)
+    del count
     give_back()
     return model
 
@@ -301,7 +377,8 @@ def identify(docs: DataFrame, vocabulary: str, model: Model | None = None) -> Da
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
     """``docs``, all columns, without rows whose language can't be told: ``und``, or a score
-    below ``least``."""
+    below ``least``. Null and empty texts and texts without a letter go; rows that repeat stay
+    or go alike; without a row to learn from all go."""
     model = train(docs, vocabulary)
     p = predicted(F.col("text"), model)
     name = "__language"
