@@ -241,7 +241,8 @@ def _least_of_others(rows: DataFrame, *place: str) -> DataFrame:
     least = rows.groupBy(*place, "c").agg(F.min("e").alias("e"))
     rank = F.row_number().over(W.partitionBy(*place).orderBy("e", "c"))
     two = least.withColumn("r", rank).where("r <= 2").groupBy(*place).agg(F.max(F.when(F.col("r") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("r") == 1, F.col("e"))).alias("e1"), F.max(F.when(F.col("r") == 2, F.col("e"))).alias("e2"))
-    rows = rows.join(two.where("e2 IS NOT NULL"), list(place))
+    two = materialize(two.where("e2 IS NOT NULL"), "least")  # so that the join can split a large place
+    rows = rows.join(two, list(place))
     return rows.withColumn("other", F.when(F.col("c") == F.col("c1"), F.col("e2")).otherwise(F.col("e1"))).drop("c1", "e1", "e2")
 
 
