@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -54,9 +55,27 @@ def test_encoding_equals_the_library(model_file, texts):
         want = sp.encode(t, add_bos=True, add_eos=True)
         got = c.encode(t)
         assert got == want and c.decode(got) == sp.decode(want), t[:80]
+    # every piece, alone and between others; signs that only some tables count as letters
+    for p in c.ids:
+        t = p.replace("▁", " ")
+        assert c.encode(f"10 m{t}b") == sp.encode(f"10 m{t}b", add_bos=True, add_eos=True), p
+    pieces = sorted(c.ids)
+    for _ in range(3000):
+        t = "".join(rnd.choice(pieces) if rnd.random() < 0.6 else rnd.choice("²½①Ⅷªº’–.,;:!?()\n ") for _ in range(rnd.randint(1, 9))).replace("▁", " ")
+        assert c.encode(t) == sp.encode(t, add_bos=True, add_eos=True), t
     assert all("".join(c.backtrack(p)) == p and c.backtrack(p) == c.merged(p) for p in ("▁theoretically", "▁▁▁▁a", "ababab", "étionnement"))
 
 
+def test_models_that_change_texts_are_refused():
+    field = lambda k, v: bytes([k << 3 | 2, len(v)]) + v
+    trainer, rules = bytes([3 << 3, 2]), bytes([4 << 3, 0])
+    assert sentencepiece_codec.Normaliser.of(field(2, trainer) + field(3, rules)).mark_first
+    assert not sentencepiece_codec.Normaliser.of(field(2, trainer) + field(3, rules + bytes([3 << 3, 0]))).mark_first
+    for model in (field(3, rules), field(2, trainer), field(2, trainer) + field(3, rules + field(2, b"map"))):
+        with pytest.raises(ValueError):
+            sentencepiece_codec.Normaliser.of(model)
+
+
 def _brute_groups(rows, percent):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
@@ -211,13 +230,14 @@ def test_language_forward_sums_and_accuracy(model_file, texts):
         w = "▁" + word
         a = [1.0] + [0.0] * len(w)
         for e in range(1, len(w) + 1):
-            for k in range(1, min(language_id.LONGEST, e) + 1):
+            for k in range(1, min(lattice.longest, e) + 1):
                 i = ids.get(w[e - k : e], 0 if k == 1 else None)
                 if i is not None:
                     a[e] += a[e - k] * m.table[i, j]
         return np.log(a[-1])
 
-    words = ["the", "étionreau", "x" * 30, "日本", "a"]
+    words = ["the", "étionreau", "x" * 30, "日本", "a", "characteristics", "administration" * 4]
+    assert lattice.longest == max(map(len, lattice.pieces)) > 12
     got = language_id.log_likelihood(lattice, m.table, words)
     assert np.allclose(got, [[brute(w, j) for j in range(len(m.languages))] for w in words])
     assert np.allclose(m.table[:-1].sum(axis=0), 1)
@@ -226,6 +246,46 @@ def test_language_forward_sums_and_accuracy(model_file, texts):
     assert np.mean([a == b for a, (_, b) in zip(said, out)]) > 0.95
 
 
+def test_language_expected_counts(model_file):
+    """Counts over all segmentations, of words of any length, against sums in decimal numbers."""
+    lattice = language_id._lattice(model_file)
+    ids = {p: i + 1 for i, p in enumerate(lattice.pieces)}
+    p = np.zeros(lattice.none + 1)
+    p[: lattice.none] = np.random.default_rng(0).random(lattice.none)
+    p /= p.sum()
+    words = ["the", "characteristics", "x" * 45, "étionreau" * 20, "b" * 23, "b" * 24, "日本", "a" * 500]
+    want = np.zeros(len(p))
+    for weight, word in enumerate(words, 1):
+        w = "▁" + word
+        arcs = [(j, k, i) for j in range(len(w)) for k in range(1, len(w) - j + 1) if k <= lattice.longest and (i := ids.get(w[j : j + k], 0 if k == 1 else None)) is not None]
+        f, b = [Decimal(1)] + [Decimal(0)] * len(w), [Decimal(0)] * len(w) + [Decimal(1)]
+        for j, k, i in arcs:
+            f[j + k] += f[j] * Decimal(p[i])
+        for j, k, i in reversed(arcs):
+            b[j] += b[j + k] * Decimal(p[i])
+        for j, k, i in arcs:
+            want[i] += weight * float(f[j] * Decimal(p[i]) * b[j + k] / f[-1])
+    assert np.allclose(language_id.expected_counts(lattice, p, words, np.arange(1.0, len(words) + 1)), want)
+
+
+def test_letters_are_those_of_the_character_table(spark, model_file):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(bool(language_id._letters().fullmatch(c)) == c.isalpha() for c in every)
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "½ ²", "en"), (3, "①", None), (4, "1² Ⅷ _", None), (5, "ª", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model_file).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "und", 5: "en"}
+
+
+def test_language_sample_is_the_same_for_repeated_and_null_ids(spark):
+    rows = [(i, "many", "en") for i in range(100, 400)] + [(None, f"text {i}", "en") for i in range(40)] + [(1, f"other {i % 20}", "fr") for i in range(40)] + [(3, "gone", None)]
+    got = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got.append([sorted(map(tuple, language_id.sample(docs, n).collect())) for n in (7, 30, 1000)])
+    assert got[0] == got[1] and [len(x) for x in got[0]][:2] == [7, 30]
+    assert len(set(got[0][2])) == 61 and len(got[0][2]) == 60 + sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(100, 400))
+
+
 def test_network_gradients_and_learning():
     rng = np.random.default_rng(0)
     net = toxicity.new_network({})
