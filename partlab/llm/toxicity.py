@@ -11,7 +11,7 @@ hasn't seen. Training and scoring are numpy; windows of many documents run in on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out
 
-#: Labelled documents that are learnt from at most, by label 1 and 0, and the windows of each
-#: that the network is trained on.
-SAMPLE_ROWS, TRAIN_WINDOWS = (1_500, 2_500), 16
+#: Labelled documents that are learnt from at most, by label 1 and 0.
+SAMPLE_ROWS = (1_500, 2_500)
+#: The network is trained on all their windows; those of one document weigh as much as so many
+#: of a short one at most.
+DOC_WEIGHT = 16
 WINDOW, STRIDE = 32, 16
 WIDTH, HIDDEN, BUCKETS = 12, 8, 1 << 14
 NGRAMS = (3, 4, 5)
-EPOCHS, LEAST_STEPS, BATCH, RATE, WORD_DOCS = 4, 400, 128, 0.01, 5
+EPOCHS, LEAST_STEPS, BATCH, RATE, WORD_DOCS = 2, 400, 128, 0.01, 5
 #: Words that a worker remembers the inputs of.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 70_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -143,14 +145,15 @@ def run(net: Network, x: np.ndarray, mask: np.ndarray, keep: bool = False):
     return (logit, states, a, pooled, memo) if keep else logit
 
 
-def gradients(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
-    """(loss, gradient of x, gradients of around, attend, out, out_bias) of the mean cross-entropy."""
+def gradients(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0):
+    """(loss, gradient of x, gradients of around, attend, out, out_bias) of the mean weighted
+    cross-entropy."""
     T, B, _ = x.shape
     H = HIDDEN
     logit, states, a, pooled, memo = run(net, x, mask, True)
     p = _sigmoid(logit)
-    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
-    d = ((p - y) / B).astype(np.float32)
+    loss = float(np.mean(weight * (np.logaddexp(0, logit) - y * logit)))
+    d = (weight * (p - y) / B).astype(np.float32)
     g_out, g_bias = d @ pooled, d.sum(keepdims=True)
     dp = (d[:, None] * net.out).reshape(B, 2, H)
     da = np.einsum("bdh,tdbh->tb", dp, states)
@@ -204,13 +207,13 @@ def statistics(logits: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([mean_p, np.maximum.reduceat(logits, first), np.add.reduceat(logits, first) / n, np.ones(len(n))], axis=1)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Network:
+def train(texts: Iterable[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Network:
     """The network from labelled texts: three quarters of them teach it windows, the rest how
-    windows make a document's score."""
+    windows make a document's score. The texts are gone through once, before the labels are."""
     rng = np.random.default_rng(seed)
-    y = np.array(labels, float)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)], np.int32) for t in texts]
+    y = np.array(labels, float)
     names = list(vocabulary)
     del vocabulary
     part = rng.random(len(docs)) < 0.75
@@ -230,25 +233,23 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for b, _ in made]))))
     buckets = np.concatenate([b for _, b in made])
     del made
-    ids, label = [], []
-    for k in np.flatnonzero(part):
-        own = docs[k]
-        starts = windows_of(len(own))
-        if len(starts) > TRAIN_WINDOWS:
-            starts = rng.choice(starts, TRAIN_WINDOWS, replace=False)
-        for s in starts:
-            w = np.full(WINDOW, -1, np.int32)
-            got = own[s : s + WINDOW]
-            w[: len(got)] = got
-            ids.append(w)
-            label.append(y[k])
-    ids, label = np.array(ids), np.array(label, np.float32)
+    teach = [docs[k] for k in np.flatnonzero(part)]
+    starts = [windows_of(len(own)) for own in teach]
+    n = np.array([len(x) for x in starts])
+    ids = np.full((n.sum(), WINDOW), -1, np.int32)
+    for at, x, own in zip(np.cumsum(n) - n, starts, teach):
+        for k, begin in enumerate(x):
+            got = own[begin : begin + WINDOW]
+            ids[at + k, : len(got)] = got
+    label = np.repeat(y[part], n).astype(np.float32)
+    weight = np.repeat(np.minimum(1, DOC_WEIGHT / np.maximum(n, 1)), n).astype(np.float32)
     adam = _Adam(net.params(), RATE)
     epochs = max(epochs, min(40, -(-LEAST_STEPS * BATCH // len(ids))))  # small samples are gone through more often
     for _ in range(epochs):
         order = rng.permutation(len(ids))
         for i in range(0, len(order), BATCH):
-            _learn(net, adam, ids[order[i : i + BATCH]], label[order[i : i + BATCH]], bounds, buckets)
+            at = order[i : i + BATCH]
+            _learn(net, adam, ids[at], label[at], weight[at], bounds, buckets)
     rest = np.flatnonzero(~part) if (~part).any() and 0 < y[~part].sum() < (~part).sum() else np.arange(len(y))
     rest = rest[[len(docs[k]) > 0 for k in rest]]
     scorer, found = Scorer(net), [np.zeros((0, 4))]
@@ -259,7 +260,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     return net
 
 
-def _learn(net: Network, adam: _Adam, ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, buckets: np.ndarray) -> None:
+def _learn(net: Network, adam: _Adam, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, bounds: np.ndarray, buckets: np.ndarray) -> None:
     mask = ids.T >= 0
     words, back = np.unique(np.where(mask, ids.T, 0), return_inverse=True)
     n = np.diff(bounds)[words]
@@ -268,7 +269,7 @@ def _learn(net: Network, adam: _Adam, ids: np.ndarray, y: np.ndarray, bounds: np
     inner = np.concatenate(([0], np.cumsum(n)))
     vec = word_vectors(net, inner, own)
     x = (vec @ net.into + net.bias)[back.reshape(mask.shape)]
-    _, dx, g_around, g_attend, g_out, g_bias = gradients(net, x, mask, y)
+    _, dx, g_around, g_attend, g_out, g_bias = gradients(net, x, mask, y, weight)
     flat = dx.reshape(-1, dx.shape[2])
     order = np.argsort(back.ravel(), kind="stable")
     per_word = np.add.reduceat(flat[order], np.searchsorted(back.ravel()[order], np.arange(len(words))), axis=0)
@@ -353,22 +354,29 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of the labelled documents that are learnt from: by label 1 and 0 those with
-    the smallest hashes of their ids, ``rows`` at most. Held-out and unlabelled rows and null
-    texts take no part; a document labelled both ways counts as toxic."""
+    """(text, toxic) of the labelled documents that are learnt from, in a fixed order: by label
+    1 and 0 those with the smallest hashes of their ids, ``rows`` at most. Held-out and
+    unlabelled rows, null ids and null texts take no part; a document labelled both ways counts
+    as toxic, an id with several texts has the one of the smallest hash."""
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     own = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     parts = [own.where(F.col("toxic") == k).orderBy(rank, "doc_id").limit(most).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")) for k, most in ((1, rows[0]), (0, rows[1]))]
     chosen = parts[0].unionAll(parts[1])  # sum(rows) rows at most, so it can be broadcast
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     got = texts.join(F.broadcast(chosen), texts["doc_id"] == F.col("__id"))
-    return got.select("text", F.col("__y").alias("toxic")).limit(sum(rows))
+    one = got.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"), F.first("__y").alias("toxic"))
+    return one.orderBy("toxic", "__id").select("t.text", "toxic")
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Network:
-    rows = sorted((int(r["toxic"]), r["text"]) for r in sample(docs, labels).toLocalIterator())
-    net = train([t for _, t in rows], [y for y, _ in rows])
-    del rows
+    toxic: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for r in sample(docs, labels).toLocalIterator():
+            toxic.append(int(r["toxic"]))
+            yield r["text"]
+
+    net = train(texts(), toxic)
     give_back()
     return net
 
@@ -403,6 +411,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the rows whose score reaches ``threshold``."""
+    """``docs``, all columns, without the rows whose score reaches ``threshold``. Null and empty
+    texts have the score of a text without words, so that all of them stay or go; rows that
+    repeat likewise. Without labels all stay."""
     net = train_on(docs, labels)
     return docs.where(toxic_score(F.col("text"), net) < threshold)
