@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +31,9 @@ from pyspark.sql import types as T
 
 from .common import give_back
 
-#: Parts that a worker remembers, and the longest part it remembers (characters). When the table
-#: is full it is emptied: a matter of speed only.
-CACHE_PARTS, CACHE_CHARS = 100_000, 40
+#: Parts that each of a worker's two tables remembers, and the longest part (characters). When
+#: one is full, the older one is emptied: a matter of speed only.
+CACHE_PARTS, CACHE_CHARS = 90_000, 40
 #: Pairs of pieces whose check is remembered.
 CACHE_PAIRS = 200_000
 
@@ -110,7 +111,9 @@ class Codec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.pair: dict[tuple[str, str], bool] = {}
+        self.alone: dict[str, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.normaliser = Normaliser.of(sp.serialized_model_proto())
         self.parts = self._parts()
         cut = [p for p in self.ids if self.parts.findall(p) != [p]]
@@ -122,8 +125,8 @@ class Codec:
 
     def forget(self) -> None:
         """Drops what was remembered: a worker outlives its task."""
-        self.pair.clear()
-        self.cache.clear()
+        for memory in (self.pair, self.cache, self.older):
+            memory.clear()
         give_back()
 
     def _parts(self) -> re.Pattern:
@@ -145,6 +148,8 @@ class Codec:
     def merged(self, text: str) -> list[str]:
         """Merging from single characters, best score first, leftmost among equals: the
         definition, used for the pair checks and by the tests."""
+        if len(text) <= 48:  # a scan is quicker than a heap
+            return self._merged_short(list(text))
         sym: list[str | None] = list(text)
         after = [*range(1, len(sym)), -1]
         before = [-1, *range(len(sym) - 1)]
@@ -170,6 +175,23 @@ class Codec:
                 offer(before[i])
         return [s for s in sym if s is not None]
 
+    def _merged_short(self, sym: list[str]) -> list[str]:
+        score = self.score.get
+        none = float("-inf")
+        gain = [score(a + b, none) for a, b in zip(sym, sym[1:])]
+        while gain:
+            best = max(gain)
+            if best == none:
+                break
+            i = gain.index(best)
+            s = sym[i] = sym[i] + sym[i + 1]
+            del sym[i + 1], gain[i]
+            if i < len(gain):
+                gain[i] = score(s + sym[i + 1], none)
+            if i:
+                gain[i - 1] = score(sym[i - 1] + s, none)
+        return sym
+
     def fits(self, left: str, right: str) -> bool:
         found = self.pair.get((left, right))
         if found is None:
@@ -181,32 +203,40 @@ class Codec:
     def backtrack(self, part: str) -> list[str]:
         """The pieces of a part; characters that no piece holds stand alone."""
         n = len(part)
-        if part in self.ids:
-            if self.merged(part) == [part]:
+        known, pairs = self.ids, self.pair
+        if part in known:
+            alone = self.alone.get(part)
+            if alone is None:
+                alone = self.alone[part] = self.merged(part) == [part]
+            if alone:
                 return [part]
-        longest = [0] * n
+        longest = [1] * n
         for end, k in self.automaton.iter(part):
-            if k > longest[end - k + 1]:
-                longest[end - k + 1] = k
+            at = end - k + 1
+            if k > longest[at]:
+                longest[at] = k
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
         i = 0
-        piece: str | None = part[: longest[0] or 1]
-        known = self.ids
+        left: str | None = None  # the last piece taken, if it is one of the vocabulary
+        piece: str | None = part[: longest[0]]
         while True:
-            if out and piece is not None and (out[-1] in known and piece in known) and not self.fits(out[-1], piece):
-                ok = False
-            else:
-                ok = piece is not None
-            if ok:
+            if piece is not None:
                 end = i + len(piece)
                 if not failed[end >> 3] & (1 << (end & 7)):
-                    out.append(piece)
-                    i = end
-                    if i >= n:
-                        return out
-                    piece = part[i : i + (longest[i] or 1)]
-                    continue
+                    fits = True
+                    if left is not None and piece in known:
+                        fits = pairs.get((left, piece))
+                        if fits is None:
+                            fits = self.fits(left, piece)
+                    if fits:
+                        out.append(piece)
+                        if end >= n:
+                            return out
+                        i = end
+                        left = piece if piece in known else None
+                        piece = part[i : i + longest[i]]
+                        continue
             shorter = self.shorter.get(piece) if piece is not None else None
             if shorter is None:
                 failed[i >> 3] |= 1 << (i & 7)
@@ -214,21 +244,25 @@ class Codec:
                     raise ValueError(f"no encoding of {part!r}")
                 back = out.pop()
                 i -= len(back)
+                left = out[-1] if out and out[-1] in known else None
                 shorter = self.shorter.get(back)
             piece = shorter
 
     def part_ids(self, part: str) -> bytes:
         """Ids of a part, little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        for p in self.backtrack(part):
-            i = self.ids.get(p)
-            if i is not None:
-                ids.append(i)
-            elif self.has_bytes:
-                ids += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                ids.append(self.unk)
-        return np.array(ids, "<u4").tobytes()
+        pieces = self.backtrack(part)
+        ids = list(map(self.ids.get, pieces))
+        if None in ids:
+            ids = []
+            for p in pieces:
+                i = self.ids.get(p)
+                if i is not None:
+                    ids.append(i)
+                elif self.has_bytes:
+                    ids += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
+                else:
+                    ids.append(self.unk)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """All ids of a text with begin and end ids, as little-endian unsigned 32-bit integers.
@@ -237,18 +271,17 @@ class Codec:
         if not text:
             return ends
         found = self.parts.findall(self.normaliser.marked(text))
-        cache = self.cache
+        cache, older = self.cache, self.older
         out = list(map(cache.get, found))
         if None in out:
             for k, (part, got) in enumerate(zip(found, out)):
                 if got is None:
-                    got = cache.get(part)
-                    if got is None:
-                        got = self.part_ids(part)
-                        if len(part) <= CACHE_CHARS:
-                            if len(cache) >= CACHE_PARTS:
-                                cache.clear()
-                            cache[part] = got
+                    got = cache.get(part) or older.get(part) or self.part_ids(part)
+                    if len(part) <= CACHE_CHARS:
+                        if len(cache) >= CACHE_PARTS:  # what isn't met again while the next fills up goes
+                            older = self.older = cache
+                            cache = self.cache = {}
+                        cache[part] = got
                     out[k] = got
         return ends[:4] + b"".join(out) + ends[4:]
 
