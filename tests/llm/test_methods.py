@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from decimal import Decimal
@@ -350,7 +351,7 @@ def test_substitutions_in_items_of_all_lengths():
         for _ in range(60):
             at = set(rnd.sample(range(n), rnd.randint(1, most)))
             got = " ".join("other" if i in at else x for i, x in enumerate(item))
-            hit = len(s.alignments(*words_of([got], punctuation=True)))
+            hit = len(s.alignments(*decontamination.tokens_of([got])))
             assert bool(s.overlaps([got])[0]) == bool(hit), (n, at)
         assert not s.overlaps([" ".join(item[: min(12, n * 3 // 4)])])[0]
     item = [f"u{k}" for k in range(60)]
@@ -360,12 +361,66 @@ def test_substitutions_in_items_of_all_lengths():
     assert s.overlaps([" ".join(item[:12] + ["o"] + item[13:16] + ["o"] * 9)])[0] == [(1, 0, 16, 15)]
 
 
+def _brute_overlaps(items, text):
+    """Item -> most equal tokens of an overlap, over all alignments that a mask hits."""
+    tok = lambda t: re.findall(r"[^\W_]+", t.lower())
+    d, out = tok(text), {}
+    for i, t in items:
+        w = tok(t)
+        if len(w) < decontamination.SPAN:
+            if w and any(d[k : k + len(w)] == w for k in range(len(d))):
+                out[i] = len(w)
+            continue
+        for shift in range(-len(w) + 1, len(d)):
+            lo, hi = max(0, -shift), min(len(w), len(d) - shift)
+            same = [w[k] == d[shift + k] for k in range(lo, hi)]
+            hit = any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in decontamination.MASKS for k in range(len(same) - 7))
+            if hit:
+                runs = [sum(same[a:b]) for a, b in decontamination._runs(np.array(same), min(13, len(w)))]
+                if sum(same) > 3 * (len(w) - sum(same)):
+                    runs.append(sum(same))
+                if runs:
+                    out[i] = max(out.get(i, 0), *runs)
+    return out
+
+
+def test_decontamination_equals_brute_force():
+    """Both ways: copies with substitutions, repeats inside items and texts, short items."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(12)}"  # noqa: E731  so few words that chance makes hits
+    items = [(i, " ".join(word() for _ in range(rnd.choice((1, 3, 5, 7, 8, 9, 13, 20, 40))))) for i in range(40)]
+    items += [(40, "x y " * 10), (41, "a b c " * 6 + "end"), (42, "x x x x x x x x x x")]
+    items = list({t.strip(): (i, t) for i, t in items}.values())
+    s = decontamination.Searcher(decontamination.build([i for i, _ in items], [t for _, t in items]))
+    texts = ["x y " * 60, "y " + "x " * 30, "a b c " * 20 + "end", "", None]
+    for _ in range(60):
+        w = [word() for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 2)):
+            copy = items[rnd.randrange(len(items))][1].split()
+            w += [rnd.choice((x, x, x, x, x, "o")) for x in copy] + [word() for _ in range(rnd.randint(0, 9))]
+        texts.append(" ".join(w))
+    for t, got in zip(texts, s.overlaps(texts)):
+        assert {o[0]: o[3] for o in got} == _brute_overlaps(items, t or ""), t
+    assert sum(map(bool, s.overlaps(texts))) > 30
+
+
+def test_decontamination_of_repeated_texts_and_scripts_without_blanks():
+    for item, text in (("x y " * 100, "x y " * 10_000), ("one line of a few words " * 20, "one line of a few words " * 4_000)):
+        s = decontamination.Searcher(decontamination.build([1], [item]))
+        began = time.process_time()
+        assert s.overlaps([text])[0] == [(1, 0, len(item.split()), len(item.split()))]
+        assert time.process_time() - began < 2
+    s = decontamination.Searcher(decontamination.build([1, 2], ["日本語の文章はこのように空白なしで書かれる", "ภาษาไทยเขียนติดกัน"]))
+    assert [o[0] for o in s.overlaps(["前置き日本語の文章はこのように空白なしで書かれる。"])[0]] == [1]
+    assert not s.overlaps(["日本語の短い文"])[0] and [o[0] for o in s.overlaps(["x ภาษาไทยเขียนติดกัน y"])[0]] == [2]
+
+
 def test_decontamination_against_search(spark, sf_dir, texts):
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op3_decontamination(spark, sf_dir).collect()}
     for i, t, _ in texts:
-        want = {k for k, x in items if len(flat(x).split()) >= 8 and flat(x) in flat(t)}
+        want = {k for k, x in items if flat(x).strip() and flat(x) in flat(t)}
         assert want <= got[i]
     blocks = decontamination.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block_bytes=2000)
     assert {r["doc_id"]: {o["item_id"] for o in r["overlaps"]} for r in blocks.collect()} == got
