@@ -29,7 +29,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import CHUNK_CHARS, IdFilter, bits_at, chunks, materialize, mix64, words_of
@@ -237,12 +236,13 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _least_of_others(rows: DataFrame, *place: str) -> DataFrame:
     """Rows (place, c, e) of places with several components, with ``other``: the least e among
-    the rows of their place in other components."""
-    least = rows.groupBy(*place, "c").agg(F.min("e").alias("e"))
-    rank = F.row_number().over(W.partitionBy(*place).orderBy("e", "c"))
-    two = least.withColumn("r", rank).where("r <= 2").groupBy(*place).agg(F.max(F.when(F.col("r") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("r") == 1, F.col("e"))).alias("e1"), F.max(F.when(F.col("r") == 2, F.col("e"))).alias("e2"))
-    two = materialize(two.where("e2 IS NOT NULL"), "least")  # so that the join can split a large place
-    rows = rows.join(two, list(place))
+    the rows of their place in other components. Minima are pre-aggregated, and tables are
+    written before they are joined, so that no place has to fit into one task."""
+    first = rows.groupBy(*place).agg(F.min(F.struct("e", "c")).alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    first = materialize(first.select(*place, F.col("f.e").alias("e1"), F.col("f.c").alias("c1")), "least")
+    rows = materialize(rows.join(first, list(place)), "marked")
+    second = materialize(rows.where("c != c1").groupBy(*place).agg(F.min("e").alias("e2")), "least")
+    rows = rows.join(second, list(place))
     return rows.withColumn("other", F.when(F.col("c") == F.col("c1"), F.col("e2")).otherwise(F.col("e1"))).drop("c1", "e1", "e2")
 
 
