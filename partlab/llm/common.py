@@ -37,10 +37,15 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only where the session names none and runs in one process (tests, a laptop) a temporary
+    folder is made and set; a cluster without a shared folder is refused, because executors
+    would write where nobody else reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='partlab-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
