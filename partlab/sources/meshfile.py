@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from dataclasses import dataclass, field
@@ -102,42 +103,75 @@ def parse_medit(text: str) -> Mesh:
     return mesh
 
 
-def parse_medit_binary(data: bytes) -> Mesh:
-    """Versions 1 to 4, either byte order; ends at the end code or the end of the file."""
-    order = "<" if data[:4] == b"\1\0\0\0" else ">"
-    version = struct.unpack_from(order + "i", data, 4)[0]
+@dataclass(frozen=True)
+class Section:
+    """Where the rows of a binary file's section are, and what they are like."""
+
+    code: int
+    is_nodes: bool
+    kind: str
+    start: int
+    count: int
+    row: np.dtype
+
+
+def sections(f) -> tuple[int, list[Section]]:
+    """Dimension and sections of a binary MEDIT file that can be read at any place: versions 1 to 4, either
+    byte order; ends at the end code or the end of the file."""
+    order = "<" if f.read(4) == b"\1\0\0\0" else ">"
+
+    def take(kind: str) -> int:
+        dtype = np.dtype(order + kind)
+        raw = f.read(dtype.itemsize)
+        if len(raw) < dtype.itemsize:
+            raise FormatError("the file ends early")
+        return int(np.frombuffer(raw, dtype)[0])
+
+    version = take("i4")
     if version not in (1, 2, 3, 4):
         raise UnsupportedVersion(f"version {version}")
-    integer = order + ("i8" if version == 4 else "i4")
-    real = order + ("f4" if version == 1 else "f8")
-    pos_size = 8 if version >= 3 else 4
-    if struct.unpack_from(order + "i", data, 8)[0] != _DIMENSION:
+    integer = "i8" if version == 4 else "i4"
+    real = "f4" if version == 1 else "f8"
+    place = "i8" if version >= 3 else "i4"
+    if take("i4") != _DIMENSION:
         raise FormatError("the dimension is missing")
-    at = 12 + pos_size
-    d = struct.unpack_from(order + "i", data, at)[0]
-    at += 4
-    mesh = Mesh(d, np.zeros((0, d)), np.zeros(0, np.int64))
-    while at + 4 <= len(data):
-        code = struct.unpack_from(order + "i", data, at)[0]
+    take(place)
+    d = take("i4")
+    end = f.seek(0, 2)
+    at = 16 + np.dtype(place).itemsize
+    out = []
+    while at + 4 <= end:
+        f.seek(at)
+        code = take("i4")
         if code == _END:
             break
-        at += 4 + pos_size
-        n = int(np.frombuffer(data, integer, 1, at)[0])
-        at += np.dtype(integer).itemsize
+        take(place)
+        n = take(integer)
         if code == _VERTICES:
-            row = np.dtype([("x", real, (d,)), ("r", integer)])
+            row, kind = np.dtype([("x", order + real, (d,)), ("r", order + integer)]), ""
         elif code in _OF_CODE:
-            row = np.dtype([("x", integer, (NODE_COUNT[_OF_CODE[code]],)), ("r", integer)])
+            kind = _OF_CODE[code]
+            row = np.dtype([("x", order + integer, (NODE_COUNT[kind],)), ("r", order + integer)])
         else:
             raise FormatError(f"unknown code {code}")
-        if at + n * row.itemsize > len(data):
+        at = f.tell()
+        if at + n * row.itemsize > end:
             raise FormatError("the file ends early")
-        rows = np.frombuffer(data, row, n, at)
+        out.append(Section(code, code == _VERTICES, kind, at, n, row))
         at += n * row.itemsize
-        if code == _VERTICES:
+    return d, out
+
+
+def parse_medit_binary(data: bytes) -> Mesh:
+    """A binary file that is in memory."""
+    d, found = sections(io.BytesIO(data))
+    mesh = Mesh(d, np.zeros((0, d)), np.zeros(0, np.int64))
+    for s in found:
+        rows = np.frombuffer(data, s.row, s.count, s.start)
+        if s.is_nodes:
             mesh.coords, mesh.refs = rows["x"].astype(float), rows["r"].astype(np.int64)
         else:
-            mesh.blocks.append((_OF_CODE[code], rows["x"].astype(np.int64) - 1, rows["r"].astype(np.int64)))
+            mesh.blocks.append((s.kind, rows["x"].astype(np.int64) - 1, rows["r"].astype(np.int64)))
     return mesh
 
 

@@ -1,8 +1,8 @@
 """Files as DataFrames and back: meshes, weights, partitions, point clouds, pictures.
 
-Meshes are read by Spark's binaryFile source, so any store that Spark reads will do. Weight and
-partition files have records of fixed width: the data sources ``mewe`` and ``mepe`` read them
-in ranges of records, one task each, without loading the file.
+Binary MEDIT meshes, weight and partition files have records of fixed width: the data sources
+``meshb``, ``mewe`` and ``mepe`` read them in ranges of records, one task each, without loading
+the file. Text meshes and VTK files are read by Spark's binaryFile source, a file a task.
 """
 
 from __future__ import annotations
@@ -45,6 +45,18 @@ def _elements(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, elements) of one mesh file; the format is told from its first bytes."""
+    try:
+        with open_file(path) as f:
+            binary = meshfile.sniff(f.read(256)) == "medit-binary"
+            if binary:  # a broken file is refused here, not by a task
+                f.seek(0)
+                meshfile.sections(f)
+    except (OSError, ValueError):  # a store that only Spark reads
+        binary = False
+    if binary:
+        register(spark)
+        source = spark.read.format("meshb")
+        return source.option("table", "nodes").load(path), source.option("table", "elements").load(path)
     raw = spark.read.format("binaryFile").load(path).select("content")
     return raw.mapInPandas(_nodes, NODES), raw.mapInPandas(_elements, ELEMENTS)
 
@@ -132,6 +144,14 @@ def write_partition(partition: DataFrame, path: str) -> None:
     write_bytes(partition.sparkSession, path, parts())
 
 
+def open_file(path: str):
+    """A file that can be read at any place, here or in a store that Arrow reaches."""
+    from pyarrow import fs
+
+    system, local = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.open_input_file(local)
+
+
 class _Records(InputPartition):
     def __init__(self, first: int, count: int):
         super().__init__((first, count))
@@ -142,11 +162,7 @@ class _FixedWidth(DataSource):
     """Common ground of both record formats."""
 
     def _open(self):
-        from pyarrow import fs
-
-        path = self.options["path"]
-        system, local = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        return system.open_input_file(local)
+        return open_file(self.options["path"])
 
     def reader(self, schema):
         return _Reader(self)
@@ -220,7 +236,68 @@ class PartitionSource(_FixedWidth):
         return pa.RecordBatch.from_arrays([ids, pa.array(values.astype(np.int32))], names=["id", "part"])
 
 
+class _Rows(InputPartition):
+    """Rows of a section of a mesh file."""
+
+    def __init__(self, section: meshfile.Section | None, block: int, first: int, done: int, count: int):
+        super().__init__((block, first))
+        self.section, self.block, self.first, self.done, self.count = section, block, first, done, count
+
+
+class MeshSource(DataSource):
+    """``spark.read.format("meshb").option("table", "nodes").load(path)``: nodes, or elements, of
+    a binary MEDIT file, ``records`` rows a task. Only the heads of its sections are read before
+    the tasks are known."""
+
+    @classmethod
+    def name(cls):
+        return "meshb"
+
+    def schema(self):
+        return NODES if self.options.get("table", "nodes") == "nodes" else ELEMENTS
+
+    def reader(self, schema):
+        return _MeshReader(self.options["path"], self.options.get("table", "nodes") == "nodes", int(self.options.get("records", RECORDS)))
+
+
+class _MeshReader(DataSourceReader):
+    def __init__(self, path: str, nodes: bool, records: int):
+        self.path, self.nodes, self.records = path, nodes, records
+        with open_file(path) as f:
+            self.sections = [s for s in meshfile.sections(f)[1] if s.is_nodes == nodes]
+
+    def partitions(self):
+        out, first = [], 0
+        for block, s in enumerate(self.sections):
+            out += [_Rows(s, block, first + i, i, min(self.records, s.count - i)) for i in range(0, s.count, self.records)]
+            first += s.count
+        return out or [_Rows(None, 0, 0, 0, 0)]
+
+    def read(self, part):
+        if not part.count:
+            return
+        s = part.section
+        with open_file(self.path) as f:
+            f.seek(s.start + part.done * s.row.itemsize)
+            raw = f.read(part.count * s.row.itemsize)
+        if len(raw) < part.count * s.row.itemsize:
+            raise FormatError("the file ends early")
+        rows = np.frombuffer(raw, s.row)
+        ids = pa.array(np.arange(part.first, part.first + part.count, dtype=np.int64))
+        refs = pa.array(rows["r"].astype(np.int64))
+        width = rows["x"].shape[1]
+        offsets = pa.array(np.arange(part.count + 1, dtype=np.int32) * width)
+        if self.nodes:
+            coords = pa.ListArray.from_arrays(offsets, pa.array(rows["x"].astype(np.float64).ravel()))
+            yield pa.RecordBatch.from_arrays([ids, coords, refs], names=["node_id", "coords", "ref"])
+        else:
+            nodes = pa.ListArray.from_arrays(offsets, pa.array(rows["x"].astype(np.int64).ravel() - 1))
+            kind, block = pa.array([s.kind] * part.count), pa.array(np.full(part.count, part.block, np.int32))
+            yield pa.RecordBatch.from_arrays([ids, kind, nodes, refs, block], names=["el_id", "type", "nodes", "ref", "block"])
+
+
 def register(spark: SparkSession) -> None:
+    spark.dataSource.register(MeshSource)
     spark.dataSource.register(WeightSource)
     spark.dataSource.register(PartitionSource)
 
