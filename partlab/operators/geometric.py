@@ -205,16 +205,24 @@ def weighted_cuts(keyed: DataFrame, part_count: int, key: str = "h") -> DataFram
     per_key = keyed.groupBy(key).agg(F.sum("w").alias("w"))
     run = prefix_sum(per_key, F.col("w"), [key])
     total = keyed.agg(F.sum("w").alias("total"))
-    wanted = F.sequence(F.lit(1), F.lit(part_count - 1)) if part_count > 1 else F.array().cast("array<int>")
+    # the cuts that a row reaches, but for rounding: a few numbers, tested exactly
+    place = lambda x: F.floor(x.cast("double") * part_count / F.nullif(F.col("total"), F.lit(0))).cast("int")
+    low, high = F.greatest(F.lit(1), place(F.col("cum") - F.col("w")) - 1), F.least(F.lit(part_count - 1), place(F.col("cum")) + 1)
+    wanted = F.when(low <= high, F.sequence(low, high))
     each = run.crossJoin(F.broadcast(total)).select(key, "cum", F.explode(F.filter(wanted, lambda i: (F.col("cum") * part_count >= i * F.col("total")) & ((F.col("cum") - F.col("w")) * part_count < i * F.col("total")))).alias("i"))
     return each.groupBy("i").agg(F.min(key).alias("cut"))
 
 
 def curve_parts(keyed: DataFrame, part_count: int, key: str = "h") -> DataFrame:
-    """(id, part): the number of cuts strictly below the key. Cuts are part_count - 1 numbers."""
+    """(id, part): the number of cuts strictly below the key, by a binary search. Cuts are
+    part_count - 1 numbers."""
     cuts = sorted(r["cut"] for r in weighted_cuts(keyed, part_count, key).collect())
     table = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
-    return keyed.select("id", F.size(F.filter(table, lambda c: c < F.col(key))).cast("int").alias("part"))
+    if not cuts:
+        return keyed.select("id", F.lit(0).alias("part"))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.try_element_at(table, at + step) < F.col(key), at + step).otherwise(at))
+    return keyed.select("id", below.cast("int").alias("part"))
 
 
 def hilbert(points: DataFrame, weights: DataFrame, part_count: int = 2, order: int = 12, rotate: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ hold both directions."""
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import BiPartitioningOnly, FormatError, Result
+from .. import shared
+from ..model import BiPartitioningOnly, FormatError, PartitionError, Result
 from . import metrics
+from .prefix import prefix_sum
 
 ELEMENT_TYPES = {"vertex": (0, 1), "edge": (1, 2), "triangle": (2, 3), "quadrangle": (2, 4), "quadrilateral": (2, 4), "tetrahedron": (3, 4), "hexahedron": (3, 8)}
 
@@ -78,8 +81,13 @@ def graph_growth(edges: DataFrame, weights: DataFrame, part_count: int, seed: in
     ids = weights.select("id")
     seeds = ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(part_count)
     part = seeds.select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("int").alias("part"))
-    grown = _kept(part)
+    tables = [_kept(part)]
     while True:
+        # rounds are written each by itself, and put together now and then
+        if len(tables) > 16:
+            old, tables = tables, [_kept(reduce(DataFrame.unionAll, tables))]
+            shared.release(*old)
+        grown = reduce(DataFrame.unionAll, tables)
         free = edges.join(grown.select(F.col("id").alias("dst")), "dst", "left_anti")
         wish = free.join(grown.select(F.col("id").alias("src"), "part"), "src").groupBy("src", "part").agg(F.min("dst").alias("dst"))
         wish = wish.groupBy("part", "dst").agg(F.min("src").alias("src"))
@@ -88,7 +96,7 @@ def graph_growth(edges: DataFrame, weights: DataFrame, part_count: int, seed: in
         new = _kept(new)
         if new.isEmpty():
             break
-        grown = _kept(grown.unionAll(new))
+        tables.append(new)
     rest = ids.join(grown, "id", "left_anti")
     loads = grown.join(weights, "id").groupBy("part").agg(F.sum("w").alias("l")).orderBy("l", "part").first()
     return grown.unionAll(rest.select("id", F.lit(0 if loads is None else loads["part"]).alias("part")))
@@ -97,18 +105,18 @@ def graph_growth(edges: DataFrame, weights: DataFrame, part_count: int, seed: in
 def _kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a round: a checkpoint in the shared folder that the session names
     (a temporary one where it names none, as in tests)."""
-    from .. import shared
-
     return shared.checkpoint(df)
 
 
-def arc_swap(edges: DataFrame, weights: DataFrame, partition: DataFrame, max_imbalance: float | None = None, rounds: int = 200) -> Result:
+def arc_swap(edges: DataFrame, weights: DataFrame, partition: DataFrame, max_imbalance: float | None = None, rounds: int | None = None) -> Result:
     """Moves vertices to the neighbouring part they are tied to most, round by round.
 
     In a round the vertices with a gain (ties: the highest part) are ranked by (gain, a hash that
     changes every round, id); those that no neighbour outranks move together, so their gains add
     up exactly and few rounds are needed. Each part takes in
-    movers in order of gain while its headroom lasts. Ends when a round moves none.
+    movers in order of gain while its headroom lasts. Every round moves the vertex of the highest
+    rank at least, to a smaller cut; it ends when no move with a gain fits, or after ``rounds``
+    where that is given.
     """
     load = partition.join(weights, "id")
     k = max(2, metrics.part_count(partition))
@@ -119,7 +127,8 @@ def arc_swap(edges: DataFrame, weights: DataFrame, partition: DataFrame, max_imb
     now = _kept(partition.select("id", F.col("part").cast("int").alias("part")))
     gained, moved, done = 0, 0, 0
     spark = partition.sparkSession
-    for done in range(1, rounds + 1):
+    while rounds is None or done < rounds:
+        done += 1
         ends = edges.join(now.select(F.col("id").alias("dst"), F.col("part").alias("to")), "dst")
         tie = ends.groupBy("src", "to").agg(F.sum("w").alias("t"))
         own = now.select(F.col("id").alias("src"), "part")
@@ -136,8 +145,9 @@ def arc_swap(edges: DataFrame, weights: DataFrame, partition: DataFrame, max_imb
         rival = best.select(F.col("src").alias("dst"), own_rank.alias("r"))
         beaten = edges.join(rival, "dst").groupBy("src").agg(F.max("r").alias("r"))
         free = best.join(beaten, "src", "left").where(F.col("r").isNull() | (own_rank > F.col("r"))).drop("r")
-        order = W.partitionBy("to").orderBy(F.desc("gain"), "src").rowsBetween(W.unboundedPreceding, W.currentRow)
-        admitted = _kept(free.withColumn("cum", F.sum("w").over(order)).join(F.broadcast(room), "to").where(F.col("cum") <= F.col("room")).select("src", "part", "to", "gain", "w"))
+        # a part may take in most movers: their sums are taken in ranges
+        summed = prefix_sum(_kept(free.withColumn("loss", -F.col("gain"))), F.col("w"), ["loss", "src"], ["to"])
+        admitted = _kept(summed.join(F.broadcast(room), "to").where(F.col("cum") <= F.col("room")).select("src", "part", "to", "gain", "w"))
         n, g = admitted.agg(F.count(F.lit(1)), F.sum("gain")).first()
         if not n:
             break
@@ -146,11 +156,15 @@ def arc_swap(edges: DataFrame, weights: DataFrame, partition: DataFrame, max_imb
             loads[r["to"]] = loads.get(r["to"], 0) + r["w"]
         gained, moved = gained + g, moved + n
         target = admitted.select(F.col("src").alias("id"), F.col("to").alias("__to"))
-        now = _kept(now.join(target, "id", "left").select("id", F.coalesce("__to", "part").alias("part")))
+        before, now = now, _kept(now.join(target, "id", "left").select("id", F.coalesce("__to", "part").alias("part")))
+        shared.release(before, best, admitted)
     return Result(now, {"edge_cut_gain": gained, "moves": moved, "rounds": done})
 
 
-# Sequential two-way refinement: one task a problem, for graphs of about a million edges.
+# Sequential two-way refinement: one task a problem.
+
+#: Arcs (edges in both directions) of a graph that is refined in one task, at most.
+MOST_ARCS = 8_000_000
 
 
 class _Graph:
@@ -277,6 +291,8 @@ def _refine(edges: DataFrame, weights: DataFrame, partition: DataFrame, run) ->
     """One task: the vertices with their edges as arrays, refined by ``run``."""
     if metrics.part_count(partition) > 2:
         raise BiPartitioningOnly("more than two parts")
+    if (n := edges.count()) > MOST_ARCS:
+        raise PartitionError(f"{n} arcs: sequential refinement takes {MOST_ARCS} at most; arc_swap takes any number")
     vertices = partition.join(weights, "id").select(F.lit(0).alias("g"), F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("part").cast("bigint").alias("b"), F.col("w").cast("double").alias("w"))
     arcs = edges.select(F.lit(0).alias("g"), F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").cast("double").alias("w"))
 

@@ -21,6 +21,12 @@ def barycentres(nodes: DataFrame, elements: DataFrame, dimension: int | None = N
     return at.groupBy("id").agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).select("id", F.array(*[F.col(f"c{i}") for i in range(d)]).alias("coords"))
 
 
+def _next_id(rows: DataFrame, column: str) -> int:
+    """1 + the largest id, 0 for no rows."""
+    last = rows.agg(F.max(column)).first()[0]
+    return 0 if last is None else last + 1
+
+
 def duplicate(nodes: DataFrame, elements: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
     """``copies`` of a mesh side by side, on a grid with equal sides. Ids of copy i are moved by
     i times the number of ids (1 + the largest)."""
@@ -28,8 +34,7 @@ def duplicate(nodes: DataFrame, elements: DataFrame, copies: int) -> tuple[DataF
     d = geometry.dimension(nodes)
     side = math.ceil(copies ** (1 / max(d, 1)) - 1e-9)
     box = geometry.bounding_box(nodes, d).first()
-    n_nodes = (nodes.agg(F.max("node_id")).first()[0] or -1) + 1
-    n_elements = (elements.agg(F.max("el_id")).first()[0] or -1) + 1
+    n_nodes, n_elements = _next_id(nodes, "node_id"), _next_id(elements, "el_id")
     copy = spark.range(copies).select(F.col("id").alias("copy"))  # a row a copy, asked for by the caller
     move = [(F.floor(F.col("copy") / side**i) % side) * F.lit(box["p_max"][i] - box["p_min"][i]) for i in range(d)] if copies and box["p_min"] else []
     shifted = F.array(*[geometry.coord(i) + m for i, m in enumerate(move)]) if move else F.col("coords")
@@ -53,7 +58,7 @@ def refine(nodes: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]
     side = lambda i, j: F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"))
     sides = F.transform("nodes", lambda v, i: side(v, F.element_at("nodes", F.when(i + 1 < n, i + 2).otherwise(1))))
     each = flat.select("el_id", F.posexplode(sides).alias("k", "s")).select("el_id", "k", "s.lo", "s.hi")
-    first = (nodes.agg(F.max("node_id")).first()[0] or -1) + 1
+    first = _next_id(nodes, "node_id")
     middles = rank(each.select("lo", "hi").distinct(), ["lo", "hi"], out="r")
     middles = middles.select("lo", "hi", (F.col("r") + first).cast("bigint").alias("mid")).persist()
     at = nodes.select("node_id", "coords", "ref")

@@ -16,7 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import NegativeValues, NotFound
+from ..model import NegativeValues, NotFound, PartitionError
+
+#: Items of a set without a key at most.
+MOST_ITEMS = 8_000_000
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, dict]]
 
@@ -234,9 +237,11 @@ KERNELS: dict[str, Callable[..., Kernel]] = {
 
 def solve(sets: DataFrame, kernel: Kernel, by: str | None = None, skip_failures: bool = False) -> DataFrame:
     """(by, id, part) from (by, id, w[, part]): the kernel on each set. Without ``by`` all rows
-    are one set. A set for which nothing is found fails the query, or with ``skip_failures``
-    gives no rows."""
+    are one set, of MOST_ITEMS at most. A set for which nothing is found fails the query, or
+    with ``skip_failures`` gives no rows."""
     key = by or "__set"
+    if by is None and (n := sets.count()) > MOST_ITEMS:
+        raise PartitionError(f"{n} items: a set is one task and has {MOST_ITEMS} items at most")
     data = sets if by else sets.withColumn(key, F.lit(0))
     if "part" not in data.columns:
         data = data.withColumn("part", F.lit(0))

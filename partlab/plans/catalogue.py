@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import curves, geometry, numeric
-from ..model import Problem
+from .. import shared
+from ..model import FormatError, Problem
 from ..operators import geometric, graph, grid, kmeans, mesh, metrics, numbers, weights
+from ..sources import tables
 from . import experiments, inputs, registry, report
 from .inputs import CELLS, EDGES, GRID, MESH, PARTS, PTS
 
@@ -64,6 +66,28 @@ def box_regions(spark, d):
     return o.select("id", geometry.region(lo, hi, F.col("coords")).cast("int").alias("region"), geometry.contains(lo, hi, F.col("coords")).alias("inside"))
 
 
+@query(f"""{_BOX}, q AS (SELECT id, x, y, x0 + (x1 - x0) / 4 AS a0, x1 - (x1 - x0) / 4 AS a1, y0 + (y1 - y0) / 4 AS b0, y1 - (y1 - y0) / 4 AS b1 FROM pts, b),
+    r AS (SELECT id, greatest(a0 - x, x - a1, 0) AS ox, greatest(b0 - y, y - b1, 0) AS oy, least(x - a0, a1 - x) AS ix, least(y - b0, b1 - y) AS iy FROM q)
+    SELECT id, round(CASE WHEN ox = 0 AND oy = 0 THEN least(ix, iy) ELSE sqrt(ox * ox + oy * oy) END, 6) AS distance FROM r""")
+def box_distance(spark, d):
+    """Distance of each point to the middle half of the box."""
+    o = inputs.orders(spark, d)
+    b = geometry.bounding_box(o, 2).first()
+    lo = F.array(*[F.lit(p + (q - p) / 4) for p, q in zip(b["p_min"], b["p_max"])])
+    hi = F.array(*[F.lit(q - (q - p) / 4) for p, q in zip(b["p_min"], b["p_max"])])
+    return o.select("id", F.round(geometry.distance_to_box(lo, hi, F.col("coords")), 6).alias("distance"))
+
+
+@query(f"{_BOX} SELECT id, CASE WHEN x > (x0 + x1) / 2 THEN (x0 + x1) / 2 ELSE x0 END AS x_min, CASE WHEN x > (x0 + x1) / 2 THEN x1 ELSE (x0 + x1) / 2 END AS x_max, CASE WHEN y > (y0 + y1) / 2 THEN (y0 + y1) / 2 ELSE y0 END AS y_min, CASE WHEN y > (y0 + y1) / 2 THEN y1 ELSE (y0 + y1) / 2 END AS y_max FROM pts, b")
+def sub_boxes(spark, d):
+    """The quarter of the box that each point is in."""
+    o = inputs.orders(spark, d)
+    b = geometry.bounding_box(o, 2).first()
+    lo, hi = (F.array(*[F.lit(v) for v in b[k]]) for k in ("p_min", "p_max"))
+    s = o.select("id", geometry.sub_box(lo, hi, geometry.region(lo, hi, F.col("coords"))).alias("s"))
+    return s.select("id", F.col("s.p_min")[0].alias("x_min"), F.col("s.p_max")[0].alias("x_max"), F.col("s.p_min")[1].alias("y_min"), F.col("s.p_max")[1].alias("y_max"))
+
+
 @query(f"WITH {PTS} SELECT id, row_number() OVER (ORDER BY x, id) - 1 AS rank FROM pts")
 def axis_rank(spark, d):
     return geometric.axis_rank(inputs.orders(spark, d), 0)
@@ -213,16 +237,23 @@ def rib_parts(spark, d):
     return p.agg(F.count(F.lit(1)).alias("items"), (F.count_distinct("id") == F.count(F.lit(1))).alias("all_once"), ((F.count_distinct("part") == 4) & (F.max("part") == 3)).alias("four_parts"))
 
 
-def _grid_sql(levels: int) -> str:
-    sql = f"WITH {CELLS}, s0 AS (SELECT id, w, x0, x1, 0 AS seg FROM cell), g0 AS (SELECT 0 AS seg, 0 AS a0, {GRID[0]} AS n0, 0 AS a1, {GRID[1]} AS n1)"
+def _grid_sql(levels: int, sizes: list[int] = GRID) -> str:
+    axes, at, stride = range(len(sizes)), [], 1
+    for n in sizes:
+        at.append(f"(id // {stride}) % {n}")
+        stride *= n
+    place = ", ".join(f"{p} AS x{j}" for j, p in enumerate(at))
+    sql = f"WITH {CELLS}, s0 AS (SELECT id, w, {place}, 0 AS seg FROM (SELECT id, w FROM cell)), g0 AS (SELECT 0 AS seg, {', '.join(f'0 AS a{j}, {n} AS n{j}' for j, n in enumerate(sizes))})"
+    xs = ", ".join(f"x{j}" for j in axes)
     for i in range(levels):
-        k = (1 + i) % 2
-        sql += f""", m{i} AS (SELECT g.seg, p.p AS pos, g.a{k} AS start, coalesce(sum(s.w), 0) AS w FROM g{i} g JOIN (SELECT unnest(range({max(GRID)})) AS p) p ON p.p >= g.a{k} AND p.p < g.a{k} + g.n{k} LEFT JOIN s{i} s ON s.seg = g.seg AND s.x{k} = p.p GROUP BY 1, 2, 3),
+        k = (1 + i) % len(sizes)
+        low = ", ".join(f"a{j}, " + (f"cut - a{j}" if j == k else f"n{j}") + f" AS n{j}" for j in axes)
+        high = ", ".join(f"cut, a{j} + n{j} - cut" if j == k else f"a{j}, n{j}" for j in axes)
+        sql += f""", m{i} AS (SELECT g.seg, p.p AS pos, g.a{k} AS start, coalesce(sum(s.w), 0) AS w FROM g{i} g JOIN (SELECT unnest(range({max(sizes)})) AS p) p ON p.p >= g.a{k} AND p.p < g.a{k} + g.n{k} LEFT JOIN s{i} s ON s.seg = g.seg AND s.x{k} = p.p GROUP BY 1, 2, 3),
         q{i} AS (SELECT seg, pos, coalesce(sum(w) OVER (PARTITION BY seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, sum(w) OVER (PARTITION BY seg) AS total FROM m{i}),
         c{i} AS (SELECT seg, coalesce(min(pos) FILTER (WHERE pre BETWEEN trunc(total / 2.0::DOUBLE * (1 - 0.01::DOUBLE)) AND trunc(total / 2.0::DOUBLE * (1 + 0.01::DOUBLE))), max(pos) FILTER (WHERE pre < trunc(total / 2.0::DOUBLE * (1 - 0.01::DOUBLE))), min(pos)) AS cut FROM q{i} GROUP BY seg),
-        s{i + 1} AS (SELECT id, w, x0, x1, 2 * seg + CASE WHEN x{k} >= cut THEN 1 ELSE 0 END AS seg FROM s{i} JOIN c{i} USING (seg)),
-        g{i + 1} AS (SELECT 2 * seg AS seg, a0, {'cut - a0' if k == 0 else 'n0'} AS n0, a1, {'cut - a1' if k == 1 else 'n1'} AS n1 FROM g{i} JOIN c{i} USING (seg)
-                     UNION ALL SELECT 2 * seg + 1, {'cut, a0 + n0 - cut, a1, n1' if k == 0 else 'a0, n0, cut, a1 + n1 - cut'} FROM g{i} JOIN c{i} USING (seg))"""
+        s{i + 1} AS (SELECT id, w, {xs}, 2 * seg + CASE WHEN x{k} >= cut THEN 1 ELSE 0 END AS seg FROM s{i} JOIN c{i} USING (seg)),
+        g{i + 1} AS (SELECT 2 * seg AS seg, {low} FROM g{i} JOIN c{i} USING (seg) UNION ALL SELECT 2 * seg + 1, {high} FROM g{i} JOIN c{i} USING (seg))"""
     return f"{sql} SELECT id, seg::INTEGER AS part FROM s{levels}"
 
 
@@ -231,11 +262,9 @@ def grid_rcb_2d(spark, d):
     return grid.rcb(inputs.cells(spark, d), GRID, 3)
 
 
-@query("SELECT count(*) AS items, 8 AS parts, true AS ok FROM (SELECT unnest(range(550)))")
+@query(_grid_sql(3, [10, 11, 5]))
 def grid_rcb_3d(spark, d):
-    w = inputs.cells(spark, d)
-    p = grid.rcb(w, [10, 11, 5], 3)
-    return p.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("part").cast("int").alias("parts"), (F.max("part") == 7).alias("ok"))
+    return grid.rcb(inputs.cells(spark, d), [10, 11, 5], 3)
 
 
 def _grid_edges_sql(sizes: list[int]) -> str:
@@ -434,6 +463,23 @@ def zoom_in(spark, d):
     return numeric.zoom_in(inputs.orders(spark, d).select("id", "w"))
 
 
+@query(f"{_BOX} SELECT id, trunc(2.5)::BIGINT AS w0, trunc(100 / (x1 - x0) * (x - x0))::BIGINT AS w1 FROM pts, b")
+def weights_criteria(spark, d):
+    """Two criteria, truncated."""
+    o = inputs.orders(spark, d)
+    both = weights.combine([weights.constant(o, 2.5), weights.linear(o, 0, 0, 100)], integers=True)
+    return both.select("id", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1"))
+
+
+@query(f"WITH {MESH} SELECT count(*) AS used FROM el")
+def used_elements(spark, d):
+    """Items of a mesh that also holds edges and vertices: the elements of the top dimension."""
+    e = inputs.mesh(spark, d)[1]
+    low = e.select("el_id", F.lit("edge").alias("type"), F.slice("nodes", 1, 2).alias("nodes"), "ref", F.lit(1).alias("block"))
+    points = e.select("el_id", F.lit("vertex").alias("type"), F.slice("nodes", 1, 1).alias("nodes"), "ref", F.lit(2).alias("block"))
+    return graph.used_elements(e.unionByName(low).unionByName(points)).agg(F.count(F.lit(1)).alias("used"))
+
+
 # --- number partitioning
 
 
@@ -478,11 +524,27 @@ def kk_k(spark, d):
     return _summed(s, numbers.solve(s, numbers.karmarkar_karp(4), "set_id"), (_spread() <= F.col("top")) | (F.col("items") < 2), 4)
 
 
-@query(_SETS)
+#: The least spread of a set's two parts, from all sums of one half of its items against the
+#: nearest sums of the other half.
+_LEAST_SPREAD = """WITH o AS (SELECT o_custkey AS set_id, CAST(round(o_totalprice * 100) AS BIGINT) AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    n AS (SELECT set_id, count(*) AS items, sum(w)::BIGINT AS total FROM o GROUP BY set_id),
+    half AS (SELECT set_id, i % 2 AS side, list(w ORDER BY i) AS ws FROM o GROUP BY 1, 2 UNION ALL SELECT set_id, 0, [] FROM n WHERE items = 1),
+    pick AS (SELECT set_id, side, ws, unnest(range(1 << len(ws))) AS m FROM half),
+    s AS (SELECT set_id, side, coalesce(list_sum([CASE WHEN (m >> (k - 1)) & 1 = 1 THEN ws[k] ELSE 0 END FOR k IN range(1, len(ws) + 1)]), 0)::BIGINT AS s FROM pick),
+    a AS (SELECT set_id, total - 2 * s AS t FROM s JOIN n USING (set_id) WHERE side = 1), b AS (SELECT set_id, 2 * s AS t FROM s WHERE side = 0),
+    near AS (SELECT a.set_id, a.t - b.t AS d FROM a ASOF JOIN b ON a.set_id = b.set_id AND a.t >= b.t UNION ALL SELECT a.set_id, b.t - a.t FROM a ASOF JOIN b ON a.set_id = b.set_id AND a.t <= b.t),
+    least AS (SELECT set_id, min(d) AS d FROM near GROUP BY set_id)"""
+
+
+@query(f"{_LEAST_SPREAD} SELECT set_id, items, total, (items < 2 OR d * 1000 <= total) AS found FROM n JOIN least USING (set_id)")
 def ckk(spark, d):
+    """Sets that can be parted to within a thousandth of their sum: found by the search if and
+    only if they are there."""
     s = _sets(spark, d)
-    parts = numbers.solve(s, numbers.complete_karmarkar_karp(1.0), "set_id")
-    return _summed(s, parts, _spread() <= F.col("total"), 2)
+    parts = numbers.solve(s, numbers.complete_karmarkar_karp(0.001, budget=5_000_000), "set_id", skip_failures=True)
+    found = _summed(s, parts, (_spread() * 1000 <= F.col("total")) | (F.col("items") < 2), 2).select("set_id", "ok")
+    every = s.groupBy("set_id").agg(F.count(F.lit(1)).alias("items"), F.sum("w").alias("total"))
+    return every.join(found, "set_id", "left").select("set_id", "items", "total", F.coalesce("ok", F.lit(False)).alias("found"))
 
 
 def _improved(spark, d, kernel):
@@ -558,21 +620,100 @@ def graph_growth(spark, d):
     return p.agg(F.count(F.lit(1)).alias("items"), (F.count_distinct("id") == F.count(F.lit(1))).alias("all_once"), ((F.min("part") == 0) & (F.max("part") == 5) & (F.count_distinct("part") == 6)).alias("in_range"))
 
 
+@query("SELECT count(*) AS items, true AS balanced, true AS all_parts FROM orders")
+def kmeans_balanced(spark, d):
+    """Balanced clusters: a grid of starts, loads that are brought within a tenth of the mean."""
+    o = inputs.orders(spark, d).withColumn("w", F.lit(1).cast("bigint"))
+    n = o.count()
+    start = geometric.hilbert(o, o, 4, 12, rotate=False)
+    tol = n / 4 * 0.1
+    end = kmeans.kmeans(o, o, start, imbalance_tol=tol, max_iter=4, max_balance_iter=40).partition
+    loads = end.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return loads.agg(F.sum("n").alias("items"), (F.max("n") - F.min("n") <= tol).alias("balanced"), (F.count(F.lit(1)) == 4).alias("all_parts"))
+
+
 @query("SELECT count(*) AS items, true AS closer, true AS all_parts FROM embeddings")
 def kmeans_parts(spark, d):
-    v = inputs.vectors(spark, d)
+    """Clusters of the whole vectors; without balancing the spread inside them must shrink."""
+    v = inputs.vectors(spark, d, 64)
     start = v.select("id", (F.col("id") % 4).cast("int").alias("part"))
     end = kmeans.kmeans(v, v, start, imbalance_tol=1e9, max_iter=5).partition
 
     def inside(p, name):
-        j = v.join(p, "id").select("part", *[F.col("coords")[i].alias(f"c{i}") for i in range(3)])
-        var = sum((F.var_pop(f"c{i}") for i in range(3)), F.lit(0.0))
+        j = v.join(p, "id").select("part", *[F.col("coords")[i].alias(f"c{i}") for i in range(64)])
+        var = sum((F.var_pop(f"c{i}") for i in range(64)), F.lit(0.0))
         return j.groupBy("part").agg((var * F.count(F.lit(1))).alias("v"), F.count(F.lit(1)).alias("n")).agg(F.sum("v").alias(name), F.sum("n").alias(f"n{name}"), F.count(F.lit(1)).alias(f"k{name}"))
 
     both = inside(start, "a").join(inside(end, "b"), how="cross")
     return both.select(F.col("nb").alias("items"), (F.col("b") <= F.col("a")).alias("closer"), (F.col("kb") == 4).alias("all_parts"))
 
 
+@query(f"WITH {PARTS} SELECT count(*) AS items, sum(w)::BIGINT AS total, true AS cut_not_worse, true AS load_ok FROM p")
+def arc_swap_orders(spark, d):
+    """The graph of parts that are bought together, in two parts."""
+    e, w = inputs.bought_together(spark, d), inputs.part_items(spark, d)
+    start = _by_id(spark, d, 2)
+    return _refined(e, w, start, graph.arc_swap(e, w, start, 0.1).partition)
+
+
+@query(f"WITH {EDGES} SELECT (SELECT count(*) FROM e) AS arcs, true AS sound, true AS loop_refused, true AS lone_refused")
+def edge_checks(spark, d):
+    """Checks of an edge table: the graph of orders passes; a loop and a lone arc don't."""
+    e, w = inputs.bought_together(spark, d), inputs.part_items(spark, d)
+
+    def refused(edges) -> bool:
+        try:
+            graph.check_edges(edges, w)
+        except FormatError:
+            return True
+        return False
+
+    first = e.orderBy("src", "dst").limit(1)
+    loop = e.unionByName(first.withColumn("dst", F.col("src")))
+    lone = e.join(first.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w")
+    return e.agg(F.count(F.lit(1)).alias("arcs")).select("arcs", F.lit(not refused(e)).alias("sound"), F.lit(refused(loop)).alias("loop_refused"), F.lit(refused(lone)).alias("lone_refused"))
+
+
+# --- files
+
+
+def _mesh_file(ending: str, name: str):
+    """The mesh written as a file and read again."""
+
+    def run(spark, d):
+        path = shared.new_path(spark, "mesh") + ending
+        tables.write_mesh(*inputs.mesh(spark, d), path, name)
+        n, e = tables.read_mesh(spark, path)
+        at = e.select("el_id", "ref", "type", F.posexplode("nodes").alias("k", "node_id")).join(n.select("node_id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")), "node_id")
+        return at.select("el_id", "ref", "type", F.col("k").cast("bigint").alias("k"), "x", "y")
+
+    run.__name__ = f"file_{name.replace('-', '_')}"
+    return query(f"WITH {MESH}, c AS (SELECT el_id, ref, unnest(nodes) AS node_id, unnest([0, 1, 2, 3])::BIGINT AS k FROM el) SELECT el_id, ref, 'quadrilateral' AS type, k, x, y FROM c JOIN node USING (node_id)")(run)
+
+
+for _ending, _name in ((".mesh", "mesh"), (".meshb", "meshb"), (".vtk", "vtk-ascii"), (".vtk", "vtk-binary")):
+    _mesh_file(_ending, _name)
+
+
+@query(f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, w, id AS key FROM pts")
+def file_weights(spark, d):
+    """Two whole criteria, written and read again: a file keeps the order of ids, not the ids."""
+    path = shared.new_path(spark, "weights") + ".weights"
+    o = inputs.orders(spark, d)
+    tables.write_weights(o.select("id", F.array("w", "id").alias("w")), path)
+    tables.register(spark)
+    back = spark.read.format("mewe").load(path)
+    return back.select("id", F.col("w")[0].alias("w"), F.col("w")[1].alias("key"))
+
+
+@query(f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, (id % 8)::INTEGER AS part FROM pts")
+def file_partition(spark, d):
+    path = shared.new_path(spark, "partition") + ".part"
+    tables.write_partition(inputs.partitioned(spark, d, 8)[0], path)
+    tables.register(spark)
+    return spark.read.format("mepe").load(path)
+
+
 # --- chains and experiments
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partlab.functions import curves, geometry, numeric
-from partlab.model import BiPartitioningOnly, InputLenMismatch, InvalidOrder, NonFinite, Problem, check_items, check_same_items
+from partlab.model import BiPartitioningOnly, FormatError, InputLenMismatch, InvalidOrder, NonFinite, PartitionError, Problem, check_items, check_same_items
 from partlab.operators import geometric, graph, grid, kmeans, mesh, metrics, prefix, weights
 from partlab.plans import experiments, registry
 from partlab.sources import tables
@@ -232,3 +232,63 @@ def test_sql_function(spark):
     assert len(rows) == 8 and {r["part"] for r in rows} == {0, 1}
     one = spark.sql("SELECT part, count(*) AS n FROM partition_numbers(TABLE(SELECT * FROM sets) WITH SINGLE PARTITION, 'greedy,4') GROUP BY part").collect()
     assert sum(r["n"] for r in one) == 8 and len(one) == 4
+
+
+def test_duplicate_of_a_mesh_with_id_zero_only(spark):
+    nodes = spark.createDataFrame([(0, [0.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)], "node_id bigint, coords array<double>, ref bigint")
+    one = spark.createDataFrame([(0, "triangle", [0, 1, 2], 0, 0)], "el_id bigint, type string, nodes array<bigint>, ref bigint, block int")
+    _, e = mesh.duplicate(nodes, one, 3)
+    assert sorted(r["el_id"] for r in e.collect()) == [0, 1, 2]
+    assert mesh.duplicate(nodes.limit(0), one.limit(0), 3)[1].count() == 0
+
+
+def test_curve_cuts_with_heavy_keys_and_no_weight(spark):
+    rows = [(0, 1, 0), (1, 2, 50), (2, 2, 50), (3, 5, 1), (4, 9, 0), (5, 9, 99)]
+    keyed = spark.createDataFrame(rows, "id bigint, h bigint, w bigint")
+    total, per = 200, {1: 0, 2: 100, 5: 1, 9: 99}
+    cum, want = 0, {}
+    for h, w in per.items():
+        for i in range(1, 7):
+            if (cum + w) * 7 >= i * total and i not in want:
+                want[i] = h
+        cum += w
+    assert {r["i"]: r["cut"] for r in geometric.weighted_cuts(keyed, 7).collect()} == want
+    got = parts(geometric.curve_parts(keyed, 7))
+    assert got == {i: sum(c < h for c in want.values()) for i, h, _ in rows}
+    assert geometric.weighted_cuts(keyed.withColumn("w", F.lit(0).cast("bigint")), 3).count() == 0
+
+
+def test_binary_mesh_in_slices(spark, tmp_path):
+    nodes = spark.range(50).select(F.col("id").alias("node_id"), F.array(F.col("id").cast("double"), F.col("id") * 0.5).alias("coords"), (F.col("id") % 3).alias("ref"))
+    tri = spark.range(20).select(F.col("id").alias("el_id"), F.lit("triangle").alias("type"), F.array("id", F.col("id") + 1, F.col("id") + 2).alias("nodes"), F.lit(4).cast("bigint").alias("ref"), F.lit(0).alias("block"))
+    edge = spark.range(20, 33).select(F.col("id").alias("el_id"), F.lit("edge").alias("type"), F.array("id", F.col("id") + 1).alias("nodes"), F.lit(5).cast("bigint").alias("ref"), F.lit(1).alias("block"))
+    path = str(tmp_path / "m.meshb")
+    tables.write_mesh(nodes, tri.unionByName(edge), path)
+    n, e = tables.read_mesh(spark, path)
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect()))
+    n, e = (spark.read.format("meshb").option("table", t).option("records", 7).load(path) for t in ("nodes", "elements"))
+    assert n.rdd.getNumPartitions() == 8 and e.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect()))
+    assert sorted(map(tuple, e.collect())) == sorted(map(tuple, tri.unionByName(edge).collect()))
+    with open(path, "r+b") as f:
+        f.truncate(300)
+    with pytest.raises(FormatError):
+        tables.read_mesh(spark, path)
+
+
+def test_limits_of_sequential_refinement(spark, monkeypatch):
+    e, w = grid.edges(spark, [3, 2]), ones(spark, 6)
+    start = w.select("id", (F.col("id") % 2).cast("int").alias("part"))
+    monkeypatch.setattr(graph, "MOST_ARCS", 3)
+    with pytest.raises(PartitionError):
+        graph.fiduccia_mattheyses(e, w, start)
+
+
+def test_erosion_and_balance(spark):
+    assert kmeans.erosion(0, 1) == 0 and 0 < kmeans.erosion(1, 2) < kmeans.erosion(2, 2) < 1 and kmeans.erosion(1, 0) == 0
+    p = points(spark, [(i * i * 0.1, 0) for i in range(60)])
+    start = p.select("id", F.when(F.col("id") < 30, 0).otherwise(1).cast("int").alias("part"))
+    for erode in (False, True):
+        end = parts(kmeans.kmeans(p, ones(spark, 60), start, imbalance_tol=4, max_iter=6, max_balance_iter=60, erode=erode).partition)
+        n = sum(end.values())
+        assert abs(60 - 2 * n) <= 4
