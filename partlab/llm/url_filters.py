@@ -114,12 +114,15 @@ class Model:
     trees: list[dict] = field(default_factory=list)
 
     def with_suffix(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__suffix_rate", self.rate(self.suffixes))
+
+    def rate(self, suffixes: dict[str, float]) -> Column:
+        """The share of label 1 that is known of a row's suffix, or else of all rows."""
         base = F.lit(1 / (1 + math.exp(-self.prior)))
-        rate = base
-        if self.suffixes:
-            known = F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv])
-            rate = F.coalesce(F.try_element_at(known, F.col("__suffix")), base)
-        return df.withColumn("__suffix_rate", rate)
+        if not suffixes:
+            return base
+        known = F.create_map(*[F.lit(x) for kv in sorted(suffixes.items()) for x in kv])
+        return F.coalesce(F.try_element_at(known, F.col("__suffix")), base)
 
     def margin(self) -> Column:
         out = F.lit(self.prior)
@@ -142,16 +145,22 @@ def train(labelled: DataFrame, url: str, label: str, sample_rows: int = SAMPLE_R
     """
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("__url"), F.col(label).cast("double").alias("__y"))
     rows = rows.orderBy(F.xxhash64("__url", "__y"), "__url", "__y").limit(sample_rows)
-    rows = materialize(lexical(rows, "__url").drop("__url", "__path", "__host"), "url-sample")
+    rows = lexical(rows, "__url").withColumn("__half", F.pmod(F.xxhash64(F.lit("half"), "__url"), F.lit(2)))
+    rows = materialize(rows.drop("__url", "__path", "__host"), "url-sample")
     n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("__y"), F.lit(0.0))).first()
     prior = math.log((pos + 1) / (n - pos + 1))
     model = Model(prior)
     if not 0 < pos < n:
         return model
     p = pos / n
-    stats = rows.groupBy("__suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("k")).where(F.col("n") >= SUFFIX_ROWS).collect()
-    model.suffixes = {r["__suffix"]: (r["k"] + 10 * p) / (r["n"] + 10) for r in stats}
-    rows = model.with_suffix(rows)
+    # trees learn from rates that don't know the row itself: those of the other half of the rows
+    half = F.col("__half") == 0
+    own = [f(F.when(half == side, x)).alias(f"{n}{int(side)}") for side in (True, False) for n, f, x in (("n", F.count, F.lit(1)), ("k", F.sum, F.col("__y")))]
+    stats = rows.groupBy("__suffix").agg(*own).where(F.col("n1") + F.col("n0") >= SUFFIX_ROWS).collect()
+    smooth = lambda k, n: ((k or 0) + 10 * p) / (n + 10)
+    model.suffixes = {r["__suffix"]: smooth((r["k1"] or 0) + (r["k0"] or 0), r["n1"] + r["n0"]) for r in stats}
+    other = [model.rate({r["__suffix"]: smooth(r[f"k{i}"], r[f"n{i}"]) for r in stats}) for i in (0, 1)]
+    rows = rows.withColumn("__suffix_rate", F.when(half, other[0]).otherwise(other[1]))
     at = [i / BINS for i in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(f"__{f}", at, 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
