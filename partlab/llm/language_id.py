@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out
+from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out, materialize
 
 #: Labelled documents that the probabilities are fitted on at most.
 SAMPLE_ROWS = 3_000
@@ -301,19 +301,22 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, lang) of ``rows`` documents at most that may be learnt from: those with the
     smallest hashes of id, text and language; rows equal in these three count once. Held-out
     rows, null texts and null languages take no part."""
-    may = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull())
     by_id, by_text = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text", "lang")
-    may = may.select(by_id.alias("h"), by_text.alias("k"), "text", "lang")
-    # among all ids with small hashes: as many as it takes for enough rows that differ
-    n = may.count()
+    may = labelled.where(F.col("text").isNotNull()).select(by_id.alias("h"), by_text.alias("k"), "text", "lang")
+    # among ids with small hashes only: as large a share as it takes for enough rows that differ
+    n = labelled.count()
     share = 4 * rows / n if n else 1.0
-    while share < 1 and may.where(F.col("h") < int(-(2**63) + share * 2**64)).select("h", "k").distinct().count() < rows:
+    while True:
+        among = may if share >= 1 else materialize(may.where(F.col("h") < int(-(2**63) + share * 2**64)), "language-sample")
+        pairs = among.select("h", "k").distinct()
+        if share >= 1 or pairs.count() >= rows:
+            break
         share *= 4
-    among = may.where(F.col("h") < int(-(2**63) + share * 2**64)) if share < 1 else may
-    cut = among.select("h", "k").distinct().orderBy("h", "k").limit(rows).agg(F.max(F.struct("h", "k")).alias("cut")).first()[0]
+    cut = pairs.orderBy("h", "k").limit(rows).agg(F.max(F.struct("h", "k")).alias("cut")).first()[0]
     if cut is None:
         return docs.select("text", "lang").limit(0)
-    chosen = may.where(F.struct("h", "k") <= F.struct(F.lit(cut["h"]).alias("h"), F.lit(cut["k"]).alias("k")))
+    chosen = among.where(F.struct("h", "k") <= F.struct(F.lit(cut["h"]).alias("h"), F.lit(cut["k"]).alias("k")))
     return chosen.dropDuplicates(["h", "k"]).select("text", "lang")
 
 
