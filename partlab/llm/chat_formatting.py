@@ -51,9 +51,11 @@ def common_turns(a: Column, b: Column) -> Column:
 def collect_turns(turns: DataFrame, key: str, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation: (key, turns), ordered by turn, then role, then text (nulls first),
     so ties and repeated rows have one order. A conversation's row is what has to be rendered
-    as one text anyway. Rows whose key is null are one conversation."""
+    as one text anyway. A row whose key is null belongs to no other: it is a conversation of its
+    own."""
     said = F.struct(F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return turns.groupBy(F.col(key).alias(key)).agg(F.sort_array(F.collect_list(said)).alias("turns"))
+    whole = turns.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.sort_array(F.collect_list(said)).alias("turns"))
+    return whole.unionAll(turns.where(F.col(key).isNull()).select(F.col(key).alias(key), F.array(said).alias("turns")))
 
 
 def format_arrays(pairs: DataFrame, key: str, chosen: str, rejected: str) -> DataFrame:
@@ -76,10 +78,14 @@ def format_arrays(pairs: DataFrame, key: str, chosen: str, rejected: str) -> Dat
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """Pairs from two tables of turns (key, turn, role, text). A key on one side only is paired
-    with a conversation of no turns. Extra columns are left out."""
+    with a conversation of no turns, and so is each row without a key. Extra columns are left
+    out."""
     a, b = collect_turns(chosen, key), collect_turns(rejected, key)
-    joined = a.withColumnRenamed("turns", "__c").join(b.select(F.col(key).alias("__k"), F.col("turns").alias("__r")), F.col(key).eqNullSafe(F.col("__k")), "full")
-    return format_arrays(joined.select(F.coalesce(F.col(key), F.col("__k")).alias(key), "__c", "__r"), key, "__c", "__r")
+    c, r = a.withColumnRenamed("turns", "__c"), b.select(F.col(key).alias("__k"), F.col("turns").alias("__r"))
+    joined = c.where(F.col(key).isNotNull()).join(r.where("__k IS NOT NULL"), F.col(key) == F.col("__k"), "full").select(F.coalesce(F.col(key), F.col("__k")).alias(key), "__c", "__r")
+    lone = c.where(F.col(key).isNull()).select(key, "__c", F.lit(None).cast(f"array<{TURN}>").alias("__r"))
+    lone = lone.unionAll(r.where("__k IS NULL").select("__k", F.lit(None).cast(f"array<{TURN}>"), "__r"))
+    return format_arrays(joined.unionAll(lone), key, "__c", "__r")
 
 
 def regurgitated(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -114,7 +120,8 @@ def oracle() -> str:
     """DuckDB SQL for :func:`preference_digest`."""
     text = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda t: '<|' || coalesce(t.role, 'none') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '')"
     return f"""
-    WITH c AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM conversations GROUP BY conv_id),
+    WITH c AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+          UNION ALL SELECT conv_id, [{{'turn': turn, 'role': role, 'text': text}}] FROM conversations WHERE conv_id IS NULL),
     o AS (SELECT conv_id, ts, list_filter(range(1, len(ts) + 1), lambda i: ts[i].role = 'assistant') AS own FROM c),
     p AS (SELECT conv_id, ts AS a, list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN len(own) > 0 AND i = own[-1]
             THEN {{'turn': ts[i].turn, 'role': ts[i].role, 'text': CASE WHEN len(own) > 1 THEN coalesce(ts[own[-2]].text, '') ELSE '' END}} ELSE ts[i] END) AS b FROM o),

@@ -124,6 +124,10 @@ def test_chat(spark):
     assert by[4]["prompt"] == "" and by[4]["rejected"] == "<|assistant|>\n<|end|>\n" and by[4]["chosen_spans"] == "14:25"
     assert by[2]["prompt"] == "<|user|>\n<|end|>\n"
     assert chat_formatting.preference_digest(c.limit(0)).count() == 0
+    # rows without a conversation aren't one
+    lone = c.where("conv_id IS NULL")
+    assert chat_formatting.preference_digest(lone.unionAll(lone)).count() == 2
+    assert chat_formatting.format_pairs(lone, lone, "conv_id").count() == 2
     a, b = c.where("conv_id = 1"), c.where("conv_id = 1 AND turn < 2 OR conv_id = 2")
     pairs = {r["conv_id"]: r for r in chat_formatting.format_pairs(a, b, "conv_id").collect()}
     assert pairs[1]["n_prompt_turns"] == 2 and pairs[1]["rejected"] == "" and pairs[2]["chosen"] == ""
