@@ -14,12 +14,14 @@ Parts recur, so a worker keeps a bounded table of encoded parts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 import struct
 import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -108,7 +110,8 @@ class Codec:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, len(p))
+            if len(p) > 1:  # a single character is the shortest match anyway
+                self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.pair: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
@@ -203,13 +206,7 @@ class Codec:
     def backtrack(self, part: str) -> list[str]:
         """The pieces of a part; characters that no piece holds stand alone."""
         n = len(part)
-        known, pairs = self.ids, self.pair
-        if part in known:
-            alone = self.alone.get(part)
-            if alone is None:
-                alone = self.alone[part] = self.merged(part) == [part]
-            if alone:
-                return [part]
+        pairs, shorter = self.pair, self.shorter
         longest = [1] * n
         for end, k in self.automaton.iter(part):
             at = end - k + 1
@@ -218,35 +215,40 @@ class Codec:
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
         i = 0
-        left: str | None = None  # the last piece taken, if it is one of the vocabulary
+        left: str | None = None
         piece: str | None = part[: longest[0]]
+        if longest[0] == n:
+            alone = self.alone.get(part)
+            if alone is None:
+                alone = self.alone[part] = self.merged(part) == [part]
+            if alone:
+                return [part]
+            piece = shorter.get(part)
         while True:
             if piece is not None:
                 end = i + len(piece)
                 if not failed[end >> 3] & (1 << (end & 7)):
-                    fits = True
-                    if left is not None and piece in known:
-                        fits = pairs.get((left, piece))
-                        if fits is None:
-                            fits = self.fits(left, piece)
+                    fits = left is None or pairs.get((left, piece))
+                    if fits is None:
+                        fits = self.fits(left, piece)
                     if fits:
                         out.append(piece)
                         if end >= n:
                             return out
                         i = end
-                        left = piece if piece in known else None
+                        left = piece
                         piece = part[i : i + longest[i]]
                         continue
-            shorter = self.shorter.get(piece) if piece is not None else None
-            if shorter is None:
-                failed[i >> 3] |= 1 << (i & 7)
-                if not out:
-                    raise ValueError(f"no encoding of {part!r}")
-                back = out.pop()
-                i -= len(back)
-                left = out[-1] if out and out[-1] in known else None
-                shorter = self.shorter.get(back)
-            piece = shorter
+                piece = shorter.get(piece)
+                if piece is not None:
+                    continue
+            failed[i >> 3] |= 1 << (i & 7)
+            if not out:
+                raise ValueError(f"no encoding of {part!r}")
+            back = out.pop()
+            i -= len(back)
+            left = out[-1] if out else None
+            piece = shorter.get(back)
 
     def part_ids(self, part: str) -> bytes:
         """Ids of a part, little-endian unsigned 32-bit integers."""
@@ -346,15 +348,27 @@ def codec(model_file: str) -> Codec:
         return _load(model_file)
 
 
+@contextmanager
+def _task(model_file: str) -> Iterator[Codec]:
+    """The codec for one task. Encoding makes many small lists and no cycles of references, so
+    the collector, which would go through all remembered parts again and again, rests."""
+    c = codec(model_file)
+    gc.disable()
+    try:
+        yield c
+    finally:
+        gc.enable()
+        c.forget()
+
+
 def encode(text: Column, model_file: str) -> Column:
     """Column of ids (ARRAY<INT>) with begin and end ids; null and empty texts give these two."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(model_file)
-        for s in batches:
-            yield pd.Series([np.frombuffer(c.encode_bytes(t), "<i4") for t in s], dtype=object)
-        c.forget()
+        with _task(model_file) as c:
+            for s in batches:
+                yield pd.Series([np.frombuffer(c.encode_bytes(t), "<i4") for t in s], dtype=object)
 
     return run(text)
 
@@ -381,17 +395,16 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model_file)
-        for s in batches:
-            n, a, b = [], [], []
-            for t in s:
-                raw = c.encode_bytes(t)
-                n.append(len(raw) // 4)
-                a.append(hashlib.sha256(raw).hexdigest())
-                said = c.decode(np.frombuffer(raw, "<u4").tolist())
-                b.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
-        c.forget()
+        with _task(model_file) as c:
+            for s in batches:
+                n, a, b = [], [], []
+                for t in s:
+                    raw = c.encode_bytes(t)
+                    n.append(len(raw) // 4)
+                    a.append(hashlib.sha256(raw).hexdigest())
+                    said = c.decode(np.frombuffer(raw, "<u4").tolist())
+                    b.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest())
+                yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
