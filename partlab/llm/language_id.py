@@ -27,7 +27,7 @@ from .common import CHUNK_CHARS, SegmentHash, chunks, give_back, held_out, mater
 SAMPLE_ROWS = 3_000
 ROUNDS, SMOOTHING = 3, 0.05
 #: Tokens between white space that a worker remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 180_000
 NONE = "und"
 
 _MARK = "▁"
