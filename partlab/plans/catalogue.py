@@ -651,7 +651,7 @@ def kmeans_parts(spark, d):
 @query(f"WITH {PARTS} SELECT count(*) AS items, sum(w)::BIGINT AS total, true AS cut_not_worse, true AS load_ok FROM p")
 def arc_swap_orders(spark, d):
     """The graph of parts that are bought together, in two parts."""
-    e, w = inputs.bought_together(spark, d), inputs.part_items(spark, d)
+    e, w = shared.checkpoint(inputs.bought_together(spark, d)), inputs.part_items(spark, d)
     start = _by_id(spark, d, 2)
     return _refined(e, w, start, graph.arc_swap(e, w, start, 0.1).partition)
 

@@ -49,6 +49,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a written table, else :func:`checkpoint` of it."""
+    return df if hasattr(df, "_partlab_path") else checkpoint(df)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of earlier rounds that nothing reads any more."""
     for df in tables:
