@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import grid
 
 GRID = [50, 11]
+#: Line items of a task that joins orders with themselves, about.
+LINES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +39,27 @@ def vectors(spark: SparkSession, sf_dir: str, d: int = 3) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.array(*[F.col("embedding")[i].cast("double") for i in range(d)]).alias("coords"), F.lit(1).cast("bigint").alias("w"))
 
 
+def bought_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts that an order has both of, the smaller id as src. Tasks are as many as
+    the line items ask for, whatever the session's number, so that none grows with the table;
+    pairs are dealt out before they are made distinct, so that a task holds only its share."""
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES + 1)
+    line = lines.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey").distinct()
+    other = line.select("l_orderkey", F.col("l_partkey").alias("dst"))
+    pairs = line.join(other, "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
+    return pairs.repartition(tasks, "src", "dst").distinct()
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(src, dst, w = 1): every pair in both directions."""
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e")).select("e.src", "e.dst", F.lit(1).cast("bigint").alias("w"))
+
+
 def bought_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w = 1): parts that an order has both of, in both directions."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    other = line.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return line.join(other, "l_orderkey").where("l_partkey != dst").select(F.col("l_partkey").alias("src"), "dst").distinct().withColumn("w", F.lit(1).cast("bigint"))
+    return both_ways(bought_pairs(spark, sf_dir))
 
 
 EDGES = """line AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),

@@ -152,6 +152,19 @@ def test_arc_swap_of_a_dense_graph(spark, k, low, kind):
         assert found.metadata["rounds"] <= 12
 
 
+def test_bought_pairs_are_dealt_by_lines(spark, monkeypatch):
+    """Tasks grow with the line items, beyond the session's number."""
+    from partlab.plans import inputs
+
+    d = "/root/testdata/sf0.001"
+    before = inputs.bought_together(spark, d).collect()
+    n = inputs.table(spark, d, "lineitem").count()
+    monkeypatch.setattr(inputs, "LINES", 500)
+    assert inputs.bought_pairs(spark, d).rdd.getNumPartitions() == n // 500 + 1 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    after = inputs.bought_together(spark, d).collect()
+    assert sorted(after) == sorted(before) and {(r["dst"], r["src"]) for r in after} == {(r["src"], r["dst"]) for r in after}
+
+
 def test_refinement_is_for_two_parts(spark):
     e, w = grid.edges(spark, [3, 1]), ones(spark, 3)
     with pytest.raises(BiPartitioningOnly):
