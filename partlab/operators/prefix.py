@@ -11,32 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a range, about; ranges at most; rows that are drawn to find the cuts.
-RANGE_ROWS, MOST_RANGES, DRAWN = 500_000, 4_000, 40_000
+from .. import shared
 
-
-def _cuts(df: DataFrame, keys: list[str], ranges: int, rows: int) -> list:
-    """Cut points between ranges: quantiles of a sample that a hash picks, as tuples."""
-    share = min(1.0, DRAWN / 2 / rows)
-    hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
-    drawn = df.where(hashed < int(share * (1 << 30)) + 1).select(*keys).limit(DRAWN).collect()
-    drawn = sorted(tuple(r) for r in drawn)
-    at = {drawn[len(drawn) * i // ranges] for i in range(1, ranges)} if drawn else set()
-    return sorted(at)
+#: Rows of a range, about; ranges at most.
+RANGE_ROWS, MOST_RANGES = 500_000, 4_000
 
 
 def range_of(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
-    """``df`` with ``__range``, which grows with the (not null) keys in their order."""
+    """``df`` with ``__range``, which grows with the (not null) keys in their order. Spark's own
+    range partitioning finds a row's range; the table is written with it, since several passes
+    read it, which would compute ``df`` and search the cuts again."""
     ranges = min(MOST_RANGES, rows // RANGE_ROWS + 1)
     if ranges == 1:
         return df.withColumn("__range", F.lit(0)), 1
-    cuts = _cuts(df, keys, ranges, rows)
-    schema = ",".join(f"k{i}:{df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
-    table = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(c)]).cast(f"struct<{schema}>") for c in cuts])
-    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    low = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.try_element_at(table, at + step) <= own, at + step).otherwise(at))
-    return df.withColumn("__range", low), len(cuts) + 1
+    dealt = df.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id())
+    return shared.checkpoint(dealt), ranges
 
 
 def prefix_sum(df: DataFrame, weight: Column, order: list[str], by: list[str] | None = None, out: str = "cum", rows: int | None = None) -> DataFrame:

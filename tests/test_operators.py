@@ -216,6 +216,21 @@ def test_weights(spark):
         assert weights.sample(spark, 50, 2, d, 1).where("w IS NOT NULL").count() == 100
 
 
+def test_ranges_compute_a_key_twice_at_most(spark, monkeypatch):
+    """Once for the cuts, once for the written table, however many ranges and passes."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def key(i):
+        calls.add(1)
+        return i * 7919 % 1000
+
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 50)
+    df = spark.range(1000).select("id", key("id").alias("k"))
+    got = {r["id"]: r["rank"] for r in prefix.rank(df, ["k", "id"], rows=1000).collect()}
+    assert got == {i: i * 7919 % 1000 for i in range(1000)} and calls.value <= 2000
+
+
 def test_prefix_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(prefix, "RANGE_ROWS", 50)
     df = spark.range(400).select("id", (F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("g"))
