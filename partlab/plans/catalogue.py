@@ -659,7 +659,7 @@ def arc_swap_orders(spark, d):
 @query(f"WITH {EDGES} SELECT (SELECT count(*) FROM e) AS arcs, true AS sound, true AS loop_refused, true AS lone_refused")
 def edge_checks(spark, d):
     """Checks of an edge table: the graph of orders passes; a loop and a lone arc don't."""
-    e, w = inputs.bought_together(spark, d), inputs.part_items(spark, d)
+    e, w = inputs.both_ways(shared.checkpoint(inputs.bought_pairs(spark, d))), inputs.part_items(spark, d)
 
     def refused(edges) -> bool:
         try:

@@ -266,6 +266,13 @@ def test_checks(spark):
     with pytest.raises(InputLenMismatch):
         check_same_items(ones(spark, 3), ones(spark, 4))
     graph.check_edges(grid.edges(spark, [2, 2]), ones(spark, 4))
+    good = [(0, 1, 1.0), (1, 0, 1.0)]
+    for more, what in (((1, 1, 1.0), "loops"), ((None, 1, 1.0), "loops"), ((0, 1, 1.0), "repeated"), ((2, 1, 1.0), "reverse"), ((5, 6, 2.0), "reverse")):
+        with pytest.raises(FormatError, match=what):
+            graph.check_edges(spark.createDataFrame([*good, more], "src bigint, dst bigint, w double"), ones(spark, 4))
+    for pair, what in ([(2, 3, 1.0), (3, 2, 2.0)], "reverse"), ([(2, 3, 1.0), (3, 2, None)], "reverse"), ([(2, 9, 1.0), (9, 2, 1.0)], "unknown"):
+        with pytest.raises(FormatError, match=what):
+            graph.check_edges(spark.createDataFrame(good + pair, "src bigint, dst bigint, w double"), ones(spark, 4))
 
 
 def test_stream_assignment(spark, tmp_path):
