@@ -8,15 +8,19 @@ the file. Text meshes and VTK files are read by Spark's binaryFile source, a fil
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import shared
 from ..model import FormatError, UnsupportedVersion
 from . import meshfile
 
@@ -114,6 +118,69 @@ def _in_id_order(df: DataFrame, kind: str) -> Iterator[bytes]:
     yield np.array(rows, kind).tobytes()
 
 
+def _reached(folder: str) -> bool:
+    """Whether Arrow, and so a task, can write to a folder."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def _write_records(df: DataFrame, path: str, head: Callable[[int], bytes], kind: str, width: int) -> None:
+    """One file of ``head`` (of the number of records) and the records (id, v array) in the order
+    of ids. Tasks write their records as files in the shared folder, which are put together as
+    streams; only their names come to the driver. Where Arrow doesn't reach the shared folder the
+    records go through the driver, a partition at a time."""
+    spark = df.sparkSession
+    folder = shared.new_path(spark, "records")
+    if ":" not in folder:  # in the store that Hadoop means by a bare path
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().replace("file:/", "file:///", 1)
+    if not _reached(folder):
+        n = df.count()
+        write_bytes(spark, path, (x for part in ([head(n)], _in_id_order(df, kind)) for x in part))
+        return
+    whole = kind != "<f8"
+    values = df.select("id", F.col("v").cast("array<bigint>" if whole else "array<double>").alias("v"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, n = TaskContext.get().partitionId(), 0
+        system, own = fs.FileSystem.from_uri(folder)
+        system.create_dir(own, recursive=True)
+        name = f"{place}-{uuid.uuid4().hex}"  # a task that is tried again writes another file
+        with system.open_output_stream(f"{own}/{name}") as out:
+            for b in batches:
+                v = b.column("v")
+                flat = v.flatten()
+                if v.null_count or flat.null_count or len(flat) != width * len(v) or set(pc.unique(pc.list_value_length(v)).to_pylist()) - {width}:
+                    raise FormatError(f"a record must have {width} numbers")
+                numbers = flat.to_numpy(zero_copy_only=False)
+                if kind == "<u8" and len(numbers) and numbers.min() < 0:
+                    raise FormatError("parts must not be negative")
+                out.write(numbers.astype(kind, copy=False).tobytes())
+                n += len(v)
+        if n:
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "name": [name], "n": pa.array([n], pa.int64())})
+
+    found = sorted(tuple(r) for r in values.orderBy("id").mapInArrow(task, "place int, name string, n bigint").collect())
+    jvm = spark.sparkContext._jvm
+    conf, Path = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
+    out = Path(path).getFileSystem(conf).create(Path(path), True)
+    try:
+        out.write(bytearray(head(sum(n for _, _, n in found))))
+        for _, name, _ in found:
+            part = Path(f"{folder}/{name}")
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part.getFileSystem(conf).open(part), out, conf, False)
+    finally:
+        out.close()
+    shared.remove(spark, folder)
+
+
 def write_weights(weights: DataFrame, path: str) -> None:
     """(id, w) with w a number or an array of up to 65 535 criteria; whole numbers are written as
     integers."""
@@ -123,25 +190,14 @@ def write_weights(weights: DataFrame, path: str) -> None:
     if criteria > 65_535:
         raise FormatError("a weight file holds 65535 criteria at most")
     integral = not any(x in kind for x in ("double", "float", "decimal"))
-    n = weights.count()
-    head = b"MeWe" + struct.pack("<BBHQ", 1, int(integral), criteria, n)
+    head = lambda n: b"MeWe" + struct.pack("<BBHQ", 1, int(integral), criteria, n)
     values = weights.select("id", F.col("w").alias("v") if many else F.array("w").alias("v"))
-
-    def parts() -> Iterator[bytes]:
-        yield head
-        yield from _in_id_order(values, "<i8" if integral else "<f8")
-
-    write_bytes(weights.sparkSession, path, parts())
+    _write_records(values, path, head, "<i8" if integral else "<f8", criteria)
 
 
 def write_partition(partition: DataFrame, path: str) -> None:
-    n = partition.count()
-
-    def parts() -> Iterator[bytes]:
-        yield b"MePe" + struct.pack("<Q", n)
-        yield from _in_id_order(partition.select("id", F.col("part").alias("v")), "<u8")
-
-    write_bytes(partition.sparkSession, path, parts())
+    values = partition.select("id", F.array("part").alias("v"))
+    _write_records(values, path, lambda n: b"MePe" + struct.pack("<Q", n), "<u8", 1)
 
 
 def open_file(path: str):

@@ -275,6 +275,27 @@ def test_checks(spark):
             graph.check_edges(spark.createDataFrame(good + pair, "src bigint, dst bigint, w double"), ones(spark, 4))
 
 
+def test_records_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """In the order of ids over several tasks, without the rows on the driver."""
+
+    def by_driver(*_):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr(tables, "_in_id_order", by_driver)
+    tables.register(spark)
+    w = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("id")).repartition(7)
+    tables.write_weights(w.select("id", F.array("id", F.col("id") * 2).alias("w")), f"file://{tmp_path}/w")
+    back = spark.read.format("mewe").load(f"file://{tmp_path}/w").orderBy("id").collect()
+    ids = sorted(i * 7919 % 5003 for i in range(5000))
+    assert [list(r["w"]) for r in back] == [[i, 2 * i] for i in ids]
+    tables.write_partition(w.select("id", (F.col("id") % 5).cast("int").alias("part")), f"file://{tmp_path}/p")
+    assert [r["part"] for r in spark.read.format("mepe").load(f"file://{tmp_path}/p").orderBy("id").collect()] == [i % 5 for i in ids]
+    with pytest.raises(Exception, match="2 numbers"):
+        tables.write_weights(spark.createDataFrame([(1, [1, 2]), (2, [1])], "id bigint, w array<bigint>"), f"file://{tmp_path}/x")
+    with pytest.raises(Exception, match="negative"):
+        tables.write_partition(spark.createDataFrame([(1, -1)], "id bigint, part int"), f"file://{tmp_path}/y")
+
+
 def test_stream_assignment(spark, tmp_path):
     from partlab.streaming import assign
 
